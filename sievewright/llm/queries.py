@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import archives, mixing, quality, sharding
 
 QUERIES = {
     "op2_vector_sharding": sharding.op2_vector_sharding,
+    "op6_fertility_rules": quality.op6_fertility_rules,
     "op7_source_mixing": mixing.op7_source_mixing,
+    "op10_legacy_archives": archives.op10_legacy_archives,
 }
 
 SQL = {
