@@ -15,12 +15,12 @@ from .pieces import WordPieces, piece_encoder, vocabulary
 #: Bands of a script: characters of words a token (least, most), most byte-fallback share, least token entropy in
 #: bits, as a share of what as many tokens can have at most (at FULL_TOKENS tokens). Fixed values.
 BANDS = {
-    "latin": (1.25, 8.0, 0.30, 0.45),
-    "cyrillic": (1.0, 8.0, 0.30, 0.45),
+    "latin": (1.6, 6.0, 0.30, 0.62),
+    "cyrillic": (1.0, 6.0, 0.30, 0.55),
     "greek": (0.4, 6.0, 0.60, 0.40),
     "cjk": (0.2, 3.0, 0.95, 0.40),
     "other": (0.15, 8.0, 1.0, 0.35),
-    "none": (0.8, 8.0, 0.30, 0.45),
+    "none": (0.8, 6.0, 0.30, 0.62),
 }
 FULL_TOKENS = 512
 #: Lead bytes of UTF-8 that begin a letter of each script, roughly by block; all else that isn't ASCII is other.
