@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import archives, language, mixing, quality, sharding
+from . import archives, language, mixing, ngram_join, quality, sharding
 
 QUERIES = {
     "op2_vector_sharding": sharding.op2_vector_sharding,
+    "op4_ngram_jaccard": ngram_join.op4_ngram_jaccard,
     "op5_language_id": language.op5_language_id,
     "op6_fertility_rules": quality.op6_fertility_rules,
     "op7_source_mixing": mixing.op7_source_mixing,
