@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import archives, language, mixing, ngram_join, quality, sharding
+from . import archives, fingerprints, language, mixing, ngram_join, quality, sharding
 
 QUERIES = {
+    "op1_prefix_fingerprint": fingerprints.op1_prefix_fingerprint,
     "op2_vector_sharding": sharding.op2_vector_sharding,
     "op4_ngram_jaccard": ngram_join.op4_ngram_jaccard,
     "op5_language_id": language.op5_language_id,
