@@ -58,13 +58,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def joined_small(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+def joined_small(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
     """Null-safe join with a written table, broadcast only if its counted rows are few. right's keys are dropped."""
     renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
     condition = F.lit(True)
     for c in on:
         condition = condition & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-    if right.count() <= BROADCAST_ROWS:
+    if right.count() <= most:
         renamed = F.broadcast(renamed)
     return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in on])
 

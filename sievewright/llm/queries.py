@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, fingerprints, language, mixing, ngram_join, quality, sharding
+from . import archives, fingerprints, language, line_dedup, mixing, ngram_join, quality, sharding
 
 QUERIES = {
     "op1_prefix_fingerprint": fingerprints.op1_prefix_fingerprint,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_language_id": language.op5_language_id,
     "op6_fertility_rules": quality.op6_fertility_rules,
     "op7_source_mixing": mixing.op7_source_mixing,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op10_legacy_archives": archives.op10_legacy_archives,
 }
 
