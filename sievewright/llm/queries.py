@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, fingerprints, language, line_dedup, mixing, ngram_join, quality, sharding
+from . import archives, fingerprints, language, line_dedup, mixing, ngram_join, quality, sharding, url_lists
 
 QUERIES = {
     "op1_prefix_fingerprint": fingerprints.op1_prefix_fingerprint,
@@ -12,9 +12,11 @@ QUERIES = {
     "op6_fertility_rules": quality.op6_fertility_rules,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_temporal_url_filter": url_lists.op9_temporal_url_filter,
     "op10_legacy_archives": archives.op10_legacy_archives,
 }
 
 SQL = {
     "op7_source_mixing": mixing.OP7_SQL,
+    "op9_temporal_url_filter": url_lists.OP9_SQL,
 }
