@@ -169,7 +169,7 @@ def _deal(bounds: np.ndarray, before: dict[int, int], tops: dict[int, int | None
             top = [i for i, (b, d) in enumerate(zip(block.tolist(), ids)) if tops.get(b, -1) == d]
             for rows, places, own in ((range(len(ids)), block, True), (top, [before[int(block[i])] for i in top], False)):
                 at = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array([own] * len(at)), batch.column("doc_id").take(at), batch.column("text").take(at)], names=["block", "own", "doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array([own] * len(at), pa.bool_()), batch.column("doc_id").take(at), batch.column("text").take(at)], names=["block", "own", "doc_id", "text"])
 
     return run
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, text_bytes
-from .pieces import WordPieces, piece_encoder, vocabulary
+from .pieces import WordPieces, kept_in_worker, piece_encoder, vocabulary
 
 #: Bands of a script: characters of words a token (least, most), most byte-fallback share, least token entropy in
 #: bits, as a share of what as many tokens can have at most (at FULL_TOKENS tokens). Fixed values.
@@ -76,7 +76,7 @@ def _rate(path: str, bands: dict):
 
         processor = SentencePieceProcessor(model_file=path)
         is_byte = np.array([processor.is_byte(i) for i in range(processor.vocab_size())])
-        pieces = WordPieces(piece_encoder(path))
+        pieces = kept_in_worker(f"pieces:{path}", lambda: WordPieces(piece_encoder(path)))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             words = [t.split() for t in texts]
