@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import joined_small, map_batches, shuffle_partitions, text_bytes, written
@@ -25,8 +25,8 @@ CELLS = 4096
 #: Words of which hashes are kept, and sets that a task knows it has filed.
 CACHE_WORDS = 300_000
 SEEN_SETS = 200_000
-#: The signature: 64-bit words of parity bits.
-SIGNATURE = ("b0", "b1", "b2", "b3")
+#: Bits of a signature, parity bits of the hashed shingles: about half of the shingles of the sets that it serves best.
+SIGNATURE_BITS = 1024
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -59,10 +59,22 @@ def shingle_set(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray) -> bytes:
     """Parity bits: two sets differ in at least as many shingles as their signatures in bits."""
-    bits = np.bincount(((shingles >> np.uint64(8)) & np.uint64(64 * len(SIGNATURE) - 1)).astype(np.int64), minlength=64 * len(SIGNATURE)) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    bits = np.bincount(((shingles >> np.uint64(8)) & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64), minlength=SIGNATURE_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def signatures(column: pa.Array) -> np.ndarray:
+    """Rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), SIGNATURE_BITS // 64)
+
+
+def allowed(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
+    """Whether signatures allow a link: half of what their bits don't tell apart bounds the overlap from above."""
+    differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    most = (nx + ny - differ) // 2
+    return 100 * most >= percent * (nx + ny - most)
 
 
 def set_key(shingles: np.ndarray) -> int:
@@ -76,7 +88,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-_DESCRIBE = "doc_id long, th long, n long, key long, b0 long, b1 long, b2 long, b3 long, cell int, cnt long"
+_DESCRIBE = "doc_id long, th long, n long, key long, sig binary, cell int, cnt long"
 
 
 def _describe(size: int):
@@ -94,13 +106,11 @@ def _describe(size: int):
             if len(hashes) > CACHE_WORDS:
                 hashes.clear()
             if n:
-                b = np.stack(bits)
-                none = pa.nulls(len(n))
-                columns = [batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), *(pa.array(b[:, i]) for i in range(b.shape[1])), none.cast(pa.int32()), none.cast(pa.int64())]
+                columns = [batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
         full = np.flatnonzero(cells)
         none = pa.nulls(len(full), pa.int64())
-        yield pa.RecordBatch.from_arrays([none] * 8 + [pa.array(full.astype(np.int32)), pa.array(cells[full])], names=names)
+        yield pa.RecordBatch.from_arrays([none] * 4 + [pa.nulls(len(full), pa.binary())] + [pa.array(full.astype(np.int32)), pa.array(cells[full])], names=names)
 
     return run
 
@@ -187,27 +197,37 @@ def _lead(percent: int):
     return run
 
 
+def _screen(percent: int):
+    """Pairs with sizes and signatures of both -> those that the signatures allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [batch.column(c).to_numpy() for c in ("a_n", "b_n")]
+            ok = allowed(signatures(batch.column("a_sig")), signatures(batch.column("b_sig")), *sizes, percent)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
 def _compare(percent: int):
-    """(token, n, key, comp, b0..b3) in order -> pairs of different components that the signatures allow."""
+    """(token, n, key, comp, sig) in order -> pairs of different components that the signatures allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, n, key, comp, *bits in _tiles(batches):
-            bits = np.stack(bits, axis=1).view(np.uint64)
+        for token, n, key, comp, sig in _tiles(batches):
+            bits = np.frombuffer(b"".join(sig), dtype=np.uint64).reshape(len(sig), SIGNATURE_BITS // 64)
             i, step = np.arange(len(token)), 1
             while True:
                 i = i[i + step < len(token)]
-                j = i + step
                 # In order of size: a partner that is too large for i leaves only larger ones.
-                near = (token[j] == token[i]) & (100 * n[i] >= percent * n[j])
-                i, j = i[near], j[near]
+                i = i[(token[i + step] == token[i]) & (100 * n[i] >= percent * n[i + step])]
                 if not len(i):
                     break
-                differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-                most = (n[i] + n[j] - differ) // 2
-                ok = (comp[i] != comp[j]) & (100 * most >= percent * (n[i] + n[j] - most))
-                if ok.any():
-                    a, b = key[i[ok]], key[j[ok]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                x = i[comp[i] != comp[i + step]]
+                for x in np.array_split(x, -(-len(x) // 65536) or 1):
+                    ok = x[allowed(bits[x], bits[x + step], n[x], n[x + step], percent)]
+                    if len(ok):
+                        a, b = key[ok], key[ok + step]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
                 step += 1
 
     return run
@@ -265,13 +285,6 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _allowed(percent: int) -> Column:
-    """Whether the signatures of a and b allow a link: half of what their bits can't tell apart bounds the overlap."""
-    differ = sum((F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in SIGNATURE), F.lit(0))
-    most = F.floor((F.col("a_n") + F.col("b_n") - differ) / 2)
-    return (100 * most) >= (percent * (F.col("a_n") + F.col("b_n") - most))
-
-
 def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """documents -> doc_id, n_shingles, component_id, one row a document.
 
@@ -295,11 +308,11 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     tiles = written(map_batches(filed, _lead(percent), "token long, key long, n long, leader long"), "tiles")
 
     # One row a set: what a copy has too is found once.
-    sets = known.filter("n > 0").groupBy("key", "n", *SIGNATURE).agg(F.min(F.struct("doc_id", "th")).alias("one"))
-    sets = written(sets.select("key", "n", *SIGNATURE, F.col("one.doc_id").alias("one_id"), F.col("one.th").alias("one_th")), "sets")
+    sets = known.filter("n > 0").groupBy("key", "n", "sig").agg(F.min(F.struct("doc_id", "th")).alias("one"))
+    sets = written(sets.select("key", "n", "sig", F.col("one.doc_id").alias("one_id"), F.col("one.th").alias("one_th")), "sets")
 
     def signed(side: str) -> DataFrame:
-        return sets.select(F.col("key").alias(f"{side}_key"), F.col("n").alias(f"{side}_n"), *[F.col(b).alias(f"{side}_{b}") for b in SIGNATURE])
+        return sets.select(F.col("key").alias(f"{side}_key"), F.col("n").alias(f"{side}_n"), F.col("sig").alias(f"{side}_sig"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """pairs (a, b), written -> those over the threshold."""
@@ -312,14 +325,14 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
         return written(map_batches(both.select("a", "b", "sa", "sb"), _verify(percent), "a long, b long"), f"{name}-links")
 
     stars = tiles.filter("leader <> key").select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
-    stars = stars.join(signed("a"), F.col("a") == F.col("a_key")).join(signed("b"), F.col("b") == F.col("b_key")).filter(_allowed(percent))
-    links = verified(written(stars.select("a", "b"), "stars"), "stars")
+    stars = stars.join(signed("a"), F.col("a") == F.col("a_key")).join(signed("b"), F.col("b") == F.col("b_key")).select("a", "b", "a_n", "b_n", "a_sig", "b_sig")
+    links = verified(written(map_batches(stars, _screen(percent), "a long, b long"), "stars"), "stars")
     labels = components(links)
 
     placed = joined_small(tiles.drop("leader"), labels, ["key"]).select("token", "n", "key", F.coalesce("label", "key").alias("comp"))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select(F.col("token").alias("_t"))
     placed = written(placed.join(mixed, F.col("token") == F.col("_t"), "left_semi"), "mixed")
-    placed = placed.join(signed("a"), F.col("key") == F.col("a_key")).select("token", "n", "key", "comp", *[F.col(f"a_{b}").alias(b) for b in SIGNATURE])
+    placed = placed.join(signed("a"), F.col("key") == F.col("a_key")).select("token", "n", "key", "comp", F.col("a_sig").alias("sig"))
     placed = placed.repartition(parts, "token").sortWithinPartitions("token", "n", "key")
     rest = written(map_batches(placed, _compare(percent), "a long, b long").distinct(), "rest")
     more = verified(rest, "rest")
