@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_batches, text_bytes
 from .pieces import vocabulary
@@ -176,7 +177,7 @@ def _identify(shared):
         languages, pieces, p = shared.value
         lattice, index, scores = Lattice(pieces), {}, np.zeros((0, len(languages)))
         for batch in batches:
-            texts = [t.decode("utf-8", "replace") for t in batch.column("text").to_pylist()]
+            texts = [t.decode("utf-8", "replace") for t in batch.column("_bytes").to_pylist()]
             words = [t.lower().split() for t in texts]
             new = set().union(*words).difference(index.keys())
             if len(index) + len(new) > CACHE_WORDS:
@@ -195,14 +196,14 @@ def _identify(shared):
                 k = int(total.argmax())
                 said.append(languages[k])
                 sure.append(float(1.0 / np.exp(np.minimum(total - total[k], 0.0)).sum()))
-            names = [n for n in batch.schema.names if n != "text"]
+            names = [n for n in batch.schema.names if n != "_bytes"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(said, pa.string()), pa.array(sure, pa.float64())], names=[*names, "lang_pred", "score"])
 
     return run
 
 
-def identify_languages(docs: DataFrame, training: DataFrame, keep: dict[str, str] | None = None, vocabulary_path: str | None = None) -> DataFrame:
-    """docs -> the columns of keep (name -> type; doc_id long by default), lang_pred, score.
+def identify_languages(docs: DataFrame, training: DataFrame, keep: tuple[str, ...] = ("doc_id",), vocabulary_path: str | None = None) -> DataFrame:
+    """docs -> the columns named in keep, lang_pred, score.
 
     The models are fitted to training; nothing but the text of docs enters a prediction. score is the posterior of
     the language given the whole text, with equal priors.
@@ -210,13 +211,12 @@ def identify_languages(docs: DataFrame, training: DataFrame, keep: dict[str, str
     count. With no language learnt all is und. Repeated rows are predicted each; equal texts get equal predictions. An
     empty table gives none. Columns not in keep are not read.
     """
-    keep = keep or {"doc_id": "long"}
     pieces = vocabulary_pieces(vocabulary_path or vocabulary("piece_bpe_32k.model"))
     languages, p = fit_languages(training, pieces)
     shared = docs.sparkSession.sparkContext.broadcast((languages, pieces, p))
-    slim = docs.select(*[F.col(c).cast(t).alias(c) for c, t in keep.items() if c != "text"], text_bytes().alias("text"))
-    schema = ", ".join(f"{c} {t}" for c, t in keep.items() if c != "text")
-    return map_batches(slim, _identify(shared), f"{schema}, lang_pred string, score double")
+    slim = docs.select(*keep, text_bytes().alias("_bytes"))
+    schema = T.StructType([*slim.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return map_batches(slim, _identify(shared), schema)
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

@@ -74,15 +74,15 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     return both.filter(F.levenshtein("la", "lb", edits) >= 0).select("a", "b")
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """documents -> doc_id, text, n_lines, n_repeated, n_near, n_left, one row a document.
+def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """documents -> doc_id, text, n_lines, n_repeated, n_near, n_left and the columns named in keep, one row a document.
 
     Lines of at least min_chars characters, without outer white space, are compared. A line goes (n_repeated) if it
     equals one before it in the corpus, or else (n_near) if a line within edits of it stands before the first of its own
     kind. Documents are in order of doc_id, then of a hash of the text; n_left counts the lines left that aren't blank.
     Lines count as equal if a 64-bit hash and their lengths are.
     Nulls: a null text stays null, without lines; null doc_ids come last. Rows alike in doc_id and text count as one
-    document: none of them loses lines to another. An empty table gives none. Other columns are not read.
+    document: none of them loses lines to another. An empty table gives none. Columns not in keep are not read.
     """
     lines = corpus_lines(docs, min_chars)
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th", "pos")
@@ -100,7 +100,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     gone = gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "again")).alias("gone"))
     gone = gone.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "gone")
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(text).alias("th"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(text).alias("th"), *keep)
     out = own.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
     out = out.withColumn("_lost", F.map_from_entries(F.coalesce("gone", F.array().cast("array<struct<pos:int,again:boolean>>"))))
     all_lines = F.split("text", "\n")
@@ -111,7 +111,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     return out.select(
         "doc_id", F.when(size > 0, F.array_join("_kept", "\n")).otherwise(F.col("text")).alias("text"),
         F.coalesce(F.when(F.col("text").isNotNull(), F.cardinality(all_lines)), F.lit(0)).cast("long").alias("n_lines"), again.cast("long").alias("n_repeated"), (size - again).cast("long").alias("n_near"),
-        F.coalesce(F.when(F.col("text").isNotNull(), F.cardinality(F.filter("_kept", lambda x: F.btrim(x, F.lit(_BLANK)) != ""))), F.lit(0)).cast("long").alias("n_left"),
+        F.coalesce(F.when(F.col("text").isNotNull(), F.cardinality(F.filter("_kept", lambda x: F.btrim(x, F.lit(_BLANK)) != ""))), F.lit(0)).cast("long").alias("n_left"), *keep,
     )
 
 

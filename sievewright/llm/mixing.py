@@ -53,7 +53,7 @@ def _copies(offset: Column) -> Column:
 
 
 def mix_sources(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, draws: int = 32) -> DataFrame:
-    """documents -> doc_id, source, size, source_size, target, copies (0 and up), one row a document.
+    """documents -> doc_id, th, source, size, source_size, target, copies (0 and up), one row a document; th is a hash of the text.
 
     Within its source a document's place is by size and doc_id, so that the sample holds every length in proportion
     and the words taken miss the target by about one document at most. Where a few long documents make up a source,
@@ -62,7 +62,7 @@ def mix_sources(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (5,
     has target 0 and no copies. Repeated rows are documents of their own; equal ones share copies in any order.
     An empty table gives none. Other columns are not read.
     """
-    slim = docs.select(F.col("doc_id"), F.col("source"), n_words().alias("size"))
+    slim = docs.select(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.col("source"), n_words().alias("size"))
     laid = ranked(slim, ["size", "doc_id"], ["source"], "_rank")
     sizes = laid.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     targets = written(source_targets(sizes, weights, share, most), "targets")
@@ -74,7 +74,7 @@ def mix_sources(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (5,
     best = F.least(*[F.struct(F.col(f"_{k}").alias("missed"), F.lit(k).alias("k"), source_offset(seed, k).alias("u")) for k in range(draws)])
     offsets = written(missed.select("source", best["u"].alias("_u")), "offsets")
     out = joined_small(out, offsets, ["source"])
-    return out.select("doc_id", "source", "size", "source_size", "target", _copies(F.col("_u")).cast("int").alias("copies"))
+    return out.select("doc_id", "th", "source", "size", "source_size", "target", _copies(F.col("_u")).cast("int").alias("copies"))
 
 
 def op7_source_mixing(spark, sf_dir: str) -> DataFrame:

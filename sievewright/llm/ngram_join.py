@@ -286,10 +286,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """documents -> doc_id, n_shingles, component_id, one row a document.
+    """documents -> doc_id, th, n_shingles, component_id, stays, one row a document; th is a hash of the text.
 
     Documents link when 100 * common shingles >= percent * shingles of either; component_id is the least doc_id that
-    links reach. A text of fewer words than a shingle counts as one shingle.
+    links reach. stays is true for one document of each component, that of the least doc_id (rows alike in doc_id and
+    text have it together). A text of fewer words than a shingle counts as one shingle.
     Nulls: a null text, like one without words, has no shingles and no links; its component_id is its own doc_id. Null
     doc_ids link like others but name no component: one that has no doc_id at all gets null. Repeated rows and copies
     link with each other. An empty table gives none. Other columns are not read.
@@ -339,12 +340,14 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     if not more.isEmpty():
         labels = components(links.union(more))
 
-    out = joined_small(known.select("doc_id", "n", "key"), labels, ["key"]).select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "key")).alias("comp"))
+    out = joined_small(known.select("doc_id", "th", "n", "key"), labels, ["key"]).select("doc_id", "th", "n", F.when(F.col("n") > 0, F.coalesce("label", "key")).alias("comp"))
     # Links and copies alone make components of more than one document.
-    firsts = out.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th"))
+    firsts = out.filter("comp IS NOT NULL").groupBy("comp").agg(least.alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     out = joined_small(out, written(firsts, "firsts"), ["comp"])
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
+    stays = F.col("first").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"), stays.alias("stays"))
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=3, percent=90)
+    return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=3, percent=90).drop("th")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import archives, fingerprints, language, line_dedup, mixing, ngram_join, quality, sharding, url_lists
+from . import archives, fingerprints, language, line_dedup, mixing, ngram_join, packing, quality, sharding, url_lists
 
 QUERIES = {
     "op1_prefix_fingerprint": fingerprints.op1_prefix_fingerprint,
     "op2_vector_sharding": sharding.op2_vector_sharding,
+    "op3_retrieval_packing": packing.op3_retrieval_packing,
     "op4_ngram_jaccard": ngram_join.op4_ngram_jaccard,
     "op5_language_id": language.op5_language_id,
     "op6_fertility_rules": quality.op6_fertility_rules,
