@@ -28,6 +28,9 @@ SEEN_SETS = 200_000
 #: Bits of a signature, parity bits of the hashed shingles: about half of the shingles of the sets that it serves best.
 SIGNATURE_BITS = 1024
 
+#: Members of a group that are verified by one task at a time.
+PART = 64
+
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -233,34 +236,46 @@ def _compare(percent: int):
     return run
 
 
-def _sets(size: int):
+def _gather(size: int):
+    """(text, roles) -> a row for each group that the text's set has a role in, with the set as a sorted array."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            keys, sets = [], []
-            for text in batch.column("text"):
+            rows = []
+            for text, roles in zip(batch.column("text"), batch.column("roles").to_pylist()):
                 s = shingle_set(text.as_py(), size, hashes)
-                keys.append(set_key(s))
-                sets.append(s.tobytes())
+                key, data = set_key(s), s.tobytes()
+                rows += [(r["group"], r["part"], r["leads"], key, data) for r in roles]
             if len(hashes) > CACHE_WORDS:
                 hashes.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "shingles"])
+            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
+            columns = zip(*rows) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["group", "part", "leads", "key", "shingles"])
 
     return run
 
 
 def _verify(percent: int):
+    """Rows of a group's part in order, the leader's first -> the members that are over the threshold with it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, lead = None, None
         for batch in batches:
-            kept = []
-            for r, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"))):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    kept.append(r)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(kept, pa.int64())) for c in ("a", "b")], names=["a", "b"])
+            linked = []
+            for g, leads, key, data in zip(*(batch.column(c).to_pylist() for c in ("group", "leads", "key")), batch.column("shingles")):
+                x = np.frombuffer(data.as_buffer(), dtype=np.uint64)
+                if leads:
+                    group, lead = g, x.copy()
+                    continue
+                if g != group:
+                    raise ValueError(f"group {g} has no leader")
+                few, many = (x, lead) if len(x) <= len(lead) else (lead, x)
+                common = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+                if 100 * common >= percent * (len(x) + len(lead) - common):
+                    linked.append((g, key))
+            a, b = zip(*linked) if linked else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -316,14 +331,22 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
         return sets.select(F.col("key").alias(f"{side}_key"), F.col("n").alias(f"{side}_n"), F.col("sig").alias(f"{side}_sig"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """pairs (a, b), written -> those over the threshold."""
-        needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        ones = written(needed.join(sets.select(F.col("key").alias("_k"), "one_id", "one_th"), F.col("key") == F.col("_k")).select("one_id", "one_th"), f"{name}-ones")
-        texts = joined_small(slim.withColumnsRenamed({"doc_id": "one_id", "th": "one_th"}), ones, ["one_id", "one_th"], "left_semi")
-        arrays = written(map_batches(texts.select("text"), _sets(size), "key long, shingles binary").dropDuplicates(["key"]), f"{name}-sets")
-        both = pairs.join(arrays.select(F.col("key").alias("_a"), F.col("shingles").alias("sa")), F.col("a") == F.col("_a"))
-        both = both.join(arrays.select(F.col("key").alias("_b"), F.col("shingles").alias("sb")), F.col("b") == F.col("_b"))
-        return written(map_batches(both.select("a", "b", "sa", "sb"), _verify(percent), "a long, b long"), f"{name}-links")
+        """pairs (a, b), written -> those over the threshold.
+
+        Every a leads a group of its b's, cut into parts of about PART members that each get the leader's set too: so
+        a set is shuffled once for each pair that it is in.
+        """
+        led = pairs.groupBy(F.col("a").alias("_g")).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+        led = written(led, f"{name}-groups")
+        role = lambda part, leads: F.struct(F.col("_g").alias("group"), part.alias("part"), F.lit(leads).alias("leads")).alias("role")
+        members = pairs.join(led, F.col("a") == F.col("_g")).select(F.col("b").alias("key"), role(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), False))
+        leaders = led.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.col("_g").alias("key"), role(F.col("_part"), True))
+        roles = members.union(leaders).groupBy("key").agg(F.collect_list("role").alias("roles"))
+        ones = roles.join(sets.select(F.col("key").alias("_k"), "one_id", "one_th"), F.col("key") == F.col("_k")).select("one_id", "one_th", "roles")
+        texts = joined_small(slim.withColumnsRenamed({"doc_id": "one_id", "th": "one_th"}), written(ones, f"{name}-ones"), ["one_id", "one_th"], "inner")
+        gathered = map_batches(texts.select("text", "roles"), _gather(size), "group long, part int, leads boolean, key long, shingles binary")
+        gathered = gathered.repartition(parts, "group", "part").sortWithinPartitions("group", "part", F.desc("leads"))
+        return written(map_batches(gathered, _verify(percent), "a long, b long"), f"{name}-links")
 
     stars = tiles.filter("leader <> key").select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
     stars = stars.join(signed("a"), F.col("a") == F.col("a_key")).join(signed("b"), F.col("b") == F.col("b_key")).select("a", "b", "a_n", "b_n", "a_sig", "b_sig")
