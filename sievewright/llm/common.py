@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -47,7 +48,12 @@ def small_batches(spark: SparkSession) -> None:
 
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     small_batches(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        gc.disable()  # many small objects live long here, and none is in a cycle
+        return function(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def text_bytes(column: str = "text") -> Column:

@@ -6,7 +6,7 @@ import json
 import os
 import sys
 import types
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -35,39 +35,155 @@ def kept_in_worker(name: str, make: Callable[[], object]) -> object:
     return getattr(store, name)
 
 
+class PairMerges:
+    """Byte-pair merges of a vocabulary, applied to many parts of words at a time.
+
+    Of a part's neighbours the pair of the least rank merges, the leftmost of equals, until no pair is left. Parts of
+    one length make a matrix: every step merges one pair in each row, so all rows shrink alike.
+    """
+
+    NONE = np.int32(1 << 30)
+
+    def __init__(self, vocab: dict[str, int], merges: list, end: str):
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], dtype=np.uint64)
+        self.keys, first = np.unique(keys, return_index=True)
+        self.rank = first.astype(np.int32)
+        self.new = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)[first]
+        letters = byte_letters()
+        self.inner = np.array([vocab[c] for c in letters], dtype=np.int32)
+        self.last = np.array([vocab[c + end] for c in letters], dtype=np.int32)
+        # Two tables of places in keys; what collides in the first is in the second.
+        self.bits, self.factors, self.tables = 20, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), []
+        left = np.arange(len(self.keys))
+        for i in range(2):
+            slots = self._slots(self.keys[left], i)
+            table = np.zeros(1 << self.bits, dtype=np.int32)
+            table[slots] = left
+            self.tables.append(table)
+            left = left[table[slots] != left]
+        self.rest = {int(self.keys[i]): int(i) for i in left}
+
+    def _slots(self, keys: np.ndarray, i: int) -> np.ndarray:
+        return (keys * np.uint64(self.factors[i])) >> np.uint64(64 - self.bits)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged id of pairs; NONE where they don't merge."""
+        keys = a.astype(np.uint64) << np.uint64(16) | b.astype(np.uint64)
+        at = self.tables[0][self._slots(keys, 0)]
+        missed = self.keys[at] != keys
+        at = np.where(missed, self.tables[1][self._slots(keys, 1)], at)
+        if self.rest:
+            for k, i in self.rest.items():
+                at[keys == np.uint64(k)] = i
+        return np.where(self.keys[at] == keys, self.rank[at], self.NONE), self.new[at]
+
+    def apply(self, parts: list[bytes]) -> list[list[int]]:
+        out: list = [None] * len(parts)
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        for n in np.unique(lengths):
+            at = np.flatnonzero(lengths == n)
+            codes = np.frombuffer(b"".join([parts[i] for i in at]), dtype=np.uint8).reshape(len(at), n)
+            ids = self.inner[codes]
+            ids[:, -1] = self.last[codes[:, -1]]
+            for rows, found in self._merged(ids):
+                for i, x in zip(at[rows].tolist(), found.tolist()):
+                    out[i] = x
+        return out
+
+    def _merged(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows that are done, with their ids."""
+        rows = np.arange(len(ids))
+        rank, new = self.find(ids[:, :-1], ids[:, 1:])
+        while len(rows):
+            width = ids.shape[1]
+            if width == 1:
+                yield rows, ids
+                return
+            j = rank.argmin(axis=1)
+            here = np.arange(len(rows))
+            live = rank[here, j] < self.NONE
+            if not live.all():
+                yield rows[~live], ids[~live]
+                rows, ids, rank, new, j = rows[live], ids[live], rank[live], new[live], j[live]
+                here = here[: len(rows)]
+                if not len(rows):
+                    return
+            merged = new[here, j]
+            columns = np.arange(width - 1)
+            ids = np.where(columns > j[:, None], ids[:, 1:], ids[:, :-1])
+            ids[here, j] = merged
+            columns = columns[:-1]
+            after = columns >= j[:, None]
+            rank, new = np.where(after, rank[:, 1:], rank[:, :-1]), np.where(after, new[:, 1:], new[:, :-1])
+            if width == 2:
+                continue
+            for side in (j - 1, j):  # the pairs that the merged one is in now
+                ok = np.flatnonzero((side >= 0) & (side < width - 2))
+                k = side[ok]
+                rank[ok, k], new[ok, k] = self.find(ids[ok, k], ids[ok, k + 1])
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else the next from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in prints]
+    return [chr(b) if b in prints else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+#: Longer parts of words are left to the library.
+PART_BYTES = 48
+
+
 def word_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Ids of each word, by the tokenizers library.
+    """Ids of each word, as the tokenizers library gives them.
 
     White space always ends a piece of these vocabularies, so the ids of a text are those of its words in a row. The
-    library takes most of its time to keep track of places in the text; for plain words its pattern is applied here
-    and its model is asked for each part only, which gives the same ids.
+    library takes much longer for single words than their merges need; for plain words its pattern and merges are
+    applied here, to all new words at once. Other words go to the library itself.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer, pre_tokenizers
+    from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as file:
-        steps = json.load(file)["pre_tokenizer"]["pretokenizers"]
-    split = regex.compile(steps[0]["pattern"]["Regex"]).findall
-    letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-    model = tokenizer.model.tokenize
+        stored = json.load(file)
+    model = stored["model"]
+    merges = PairMerges(model["vocab"], model["merges"], model["end_of_word_suffix"])
+    split = regex.compile(stored["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
     known: dict[str, list[int]] = {}
 
-    def part(p: str) -> list[int]:
+    def parts_of(word: str) -> list[str] | None:
+        """The parts that the pattern finds in a plain word; None for others."""
+        if word.isascii():
+            if word.isalpha():
+                return [word.lower()]
+            bare = word.rstrip(".,")
+            if bare.isalpha():
+                return [bare.lower(), word[len(bare) :]]
+        if not _PLAIN.fullmatch(word) or _SPECIAL in word:
+            return None
+        return split(word.lower())
+
+    def encode(words: list[str]) -> list[list[int]]:
         if len(known) > CACHE_WORDS:
             known.clear()
-        known[p] = ids = [t.id for t in model(p if p.isascii() else letters(p)[0][0])]
-        return ids
-
-    def word(w: str) -> list[int]:
-        if not _PLAIN.fullmatch(w) or _SPECIAL in w:
-            return tokenizer.encode(w, add_special_tokens=False).ids
-        parts = split(w.lower())
-        if len(parts) == 1:
-            return known.get(parts[0]) or part(parts[0])
-        return [i for p in parts for i in known.get(p) or part(p)]
-
-    return lambda words: list(map(word, words))
+        parts = list(map(parts_of, words))
+        new = [p for p in set(chain.from_iterable(x for x in parts if x)).difference(known) if len(p) <= PART_BYTES // 2]
+        known.update(zip(new, merges.apply([p.encode() for p in new])))
+        get = known.get
+        out = []
+        for word, found in zip(words, parts):
+            ids = None
+            if found is not None:
+                if len(found) == 1:
+                    ids = get(found[0])
+                elif None not in (many := list(map(get, found))):
+                    ids = list(chain.from_iterable(many))
+            out.append(tokenizer.encode(word, add_special_tokens=False).ids if ids is None else ids)
+        return out
+
+    return encode
 
 
 def piece_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
