@@ -12,7 +12,7 @@ import json
 import threading
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -394,10 +394,15 @@ def _rows(spark: SparkSession, schema: str, files: list, columns: list[str] | No
         return plain.select(*columns, F.lit(None).cast("long").alias("rid"))
     ordinals = spark.createDataFrame([(f, o) for o, f, *_ in files], "_file string, _ordinal long")
     ordinals = F.broadcast(ordinals) if len(files) <= BROADCAST_FILES else ordinals
-    rows = plain.select(*columns, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_index"))
+    rows = plain.select(*columns, _one_slash(F.col("_metadata.file_path")).alias("_path"), F.col("_metadata.row_index").alias("_index"))
     if len(files) == 1:
         return rows.select(*columns, row_id(F.lit(files[0][0]), F.col("_index")).alias("rid"))
-    return rows.join(ordinals, F.col("_path") == F.col("_file")).select(*columns, row_id(F.col("_ordinal"), F.col("_index")).alias("rid"))
+    return rows.join(ordinals, F.col("_path") == _one_slash(F.col("_file"))).select(*columns, row_id(F.col("_ordinal"), F.col("_index")).alias("rid"))
+
+
+def _one_slash(path: Column) -> Column:
+    """A path in one spelling: stores name the same file with one slash or three after the scheme."""
+    return F.regexp_replace(path, r"^([A-Za-z0-9+.\-]+):/+", "$1:/")
 
 
 def _indexed(spark: SparkSession, store: Store, manifest: dict) -> dict:

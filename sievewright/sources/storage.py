@@ -59,7 +59,7 @@ class Store:
         final, part = self._path(self.path(name)), self._path(self.path(f".{name}.{uuid.uuid4().hex}"))
         stream = self._fs.create(part, False)
         try:
-            stream.write(bytearray(json.dumps(value, sort_keys=True).encode()))
+            stream.write(bytearray(json.dumps(value).encode()))
         finally:
             stream.close()
         if self._fs.exists(final) or not self._fs.rename(part, final):
