@@ -20,13 +20,21 @@ from pyspark.sql import functions as F
 
 from .common import joined_small, map_batches, shuffle_partitions, text_bytes, written
 
-#: Cells of the sketch that tells common shingles from rare ones.
-CELLS = 4096
+#: Cells of the sketch that tells common shingles from rare ones. A task reports the cells that stand out from its
+#: mean by so many standard deviations and shingles more; all others count as rare.
+CELLS = 1 << 20
+DEVIATIONS, MORE = 6, 6
+#: Levels of being common, by powers of two.
+LEVELS = 16
+#: Bytes of sets that are handed on at once.
+CHUNK = 16 << 20
 #: Words of which hashes are kept, and sets that a task knows it has filed.
 CACHE_WORDS = 300_000
 SEEN_SETS = 200_000
 #: Bits of a signature, parity bits of the hashed shingles: about half of the shingles of the sets that it serves best.
 SIGNATURE_BITS = 1024
+#: Sets of over twice as many shingles have a wide signature too, of up to so many bits.
+WIDE_BITS = 1 << 14
 
 #: Members of a group that are verified by one task at a time.
 PART = 64
@@ -62,10 +70,23 @@ def shingle_set(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(shingles: np.ndarray) -> bytes:
+def signature(shingles: np.ndarray, bits: int = SIGNATURE_BITS) -> bytes:
     """Parity bits: two sets differ in at least as many shingles as their signatures in bits."""
-    bits = np.bincount(((shingles >> np.uint64(8)) & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64), minlength=SIGNATURE_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    parity = np.bincount(((shingles >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8)).tobytes()
+
+
+def wide_signature(shingles: np.ndarray) -> bytes | None:
+    """For large sets, half as many bits as shingles, rounded up to a power of two."""
+    if len(shingles) <= 2 * SIGNATURE_BITS:
+        return None
+    return signature(shingles, min(WIDE_BITS, 1 << (len(shingles) // 2 - 1).bit_length()))
+
+
+def wide_difference(x: bytes, y: bytes) -> int:
+    """Bits that differ; the longer signature is folded onto the shorter, which keeps parities."""
+    x, y = sorted((np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
 
 
 def signatures(column: pa.Array) -> np.ndarray:
@@ -91,29 +112,32 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-_DESCRIBE = "doc_id long, th long, n long, key long, sig binary, cell int, cnt long"
+_DESCRIBE = "doc_id long, th long, n long, key long, sig binary, wide binary, cell int, cnt long"
 
 
 def _describe(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, cells = WordHashes(), np.zeros(CELLS, dtype=np.int64)
+        hashes, cells = WordHashes(), np.zeros(CELLS, dtype=np.int32)
         names = [x.split()[0] for x in _DESCRIBE.split(", ")]
         for batch in batches:
-            n, keys, bits = [], [], []
+            n, keys, bits, wide, low = [], [], [], [], []
             for text in batch.column("text"):
                 s = shingle_set(text.as_py(), size, hashes)
-                cells += np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                low.append((s & np.uint64(CELLS - 1)).astype(np.int32))
                 n.append(len(s))
                 keys.append(set_key(s))
                 bits.append(signature(s))
+                wide.append(wide_signature(s))
             if len(hashes) > CACHE_WORDS:
                 hashes.clear()
             if n:
-                columns = [batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())]
+                cells += np.bincount(np.concatenate(low), minlength=CELLS).astype(np.int32)
+                columns = [batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
-        full = np.flatnonzero(cells)
+        mean = cells.mean()
+        full = np.flatnonzero(cells > mean + DEVIATIONS * np.sqrt(mean) + MORE)
         none = pa.nulls(len(full), pa.int64())
-        yield pa.RecordBatch.from_arrays([none] * 4 + [pa.nulls(len(full), pa.binary())] + [pa.array(full.astype(np.int32)), pa.array(cells[full])], names=names)
+        yield pa.RecordBatch.from_arrays([none] * 4 + [pa.nulls(len(full), pa.binary())] * 2 + [pa.array(full.astype(np.int32)), pa.array(cells[full].astype(np.int64) - int(mean))], names=names)
 
     return run
 
@@ -123,11 +147,11 @@ def prefix_length(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
-def _file(size: int, percent: int, level: np.ndarray):
+def _file(size: int, percent: int, shared):
     """Rows (token, key, n): a token is a shingle with its level, how common it is, in the highest bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        hashes, seen, level = WordHashes(), set(), shared.value
         for batch in batches:
             tokens, keys, sizes = [], [], []
             for text in batch.column("text"):
@@ -136,7 +160,7 @@ def _file(size: int, percent: int, level: np.ndarray):
                 if not len(s) or key in seen:
                     continue
                 seen.add(key)
-                common = level[(s & np.uint64(CELLS - 1)).astype(np.int64)]
+                common = level[(s & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64)
                 order = (common << np.uint64(60)) | (s >> np.uint64(4))
                 if common.any():
                     order.sort()
@@ -207,6 +231,11 @@ def _screen(percent: int):
         for batch in batches:
             sizes = [batch.column(c).to_numpy() for c in ("a_n", "b_n")]
             ok = allowed(signatures(batch.column("a_sig")), signatures(batch.column("b_sig")), *sizes, percent)
+            wide = [batch.column(c) for c in ("a_wide", "b_wide")]
+            for i in np.flatnonzero(ok & np.logical_and(*(w.is_valid().to_numpy(zero_copy_only=False) for w in wide))).tolist():
+                n = int(sizes[0][i] + sizes[1][i])
+                most = (n - wide_difference(wide[0][i].as_py(), wide[1][i].as_py())) // 2
+                ok[i] = 100 * most >= percent * (n - most)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return run
@@ -241,17 +270,23 @@ def _gather(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
+        kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
+        names = ["group", "part", "leads", "key", "shingles"]
         for batch in batches:
-            rows = []
-            for text, roles in zip(batch.column("text"), batch.column("roles").to_pylist()):
+            rows, held = [], 0
+            for text, roles in zip(batch.column("text"), batch.column("roles")):
                 s = shingle_set(text.as_py(), size, hashes)
                 key, data = set_key(s), s.tobytes()
-                rows += [(r["group"], r["part"], r["leads"], key, data) for r in roles]
+                for r in roles.as_py():
+                    rows.append((r["group"], r["part"], r["leads"], key, data))
+                    held += len(data)
+                    if held > CHUNK:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                        rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
             if len(hashes) > CACHE_WORDS:
                 hashes.clear()
-            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
-            columns = zip(*rows) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["group", "part", "leads", "key", "shingles"])
 
     return run
 
@@ -315,20 +350,25 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), text_bytes().alias("text"))
     described = written(map_batches(slim, _describe(size), _DESCRIBE), "described")
     known = described.filter("cell IS NULL").drop("cell", "cnt")
-    cells = np.zeros(CELLS, dtype=np.int64)
-    for r in described.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("cnt").alias("cnt")).collect():  # CELLS rows at most
-        cells[r["cell"]] = r["cnt"]
-    level = np.clip(np.floor(np.log2(np.maximum(cells, 1) / max(1.0, cells.mean()))), 0, 7).astype(np.uint64)
-    filed = map_batches(slim.select("text"), _file(size, percent, level), "token long, key long, n long")
+    level = np.zeros(CELLS, dtype=np.uint8)
+    for r in described.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("cnt").alias("cnt")).toLocalIterator():  # CELLS rows at most
+        level[r["cell"]] = min(LEVELS - 1, r["cnt"].bit_length())
+    filed = map_batches(slim.select("text"), _file(size, percent, spark.sparkContext.broadcast(level)), "token long, key long, n long")
     filed = filed.repartition(parts, "token").sortWithinPartitions("token", "n", "key")
     tiles = written(map_batches(filed, _lead(percent), "token long, key long, n long, leader long"), "tiles")
 
     # One row a set: what a copy has too is found once.
-    sets = known.filter("n > 0").groupBy("key", "n", "sig").agg(F.min(F.struct("doc_id", "th")).alias("one"))
-    sets = written(sets.select("key", "n", "sig", F.col("one.doc_id").alias("one_id"), F.col("one.th").alias("one_th")), "sets")
+    sets = known.filter("n > 0").groupBy("key", "n", "sig", "wide").agg(F.min(F.struct("doc_id", "th")).alias("one"))
+    sets = written(sets.select("key", "n", "sig", "wide", F.col("one.doc_id").alias("one_id"), F.col("one.th").alias("one_th")), "sets")
+
+    def side(name: str) -> DataFrame:
+        return sets.select(*[F.col(c).alias(f"{name}_{c}") for c in ("key", "n", "sig", "wide")])
 
-    def signed(side: str) -> DataFrame:
-        return sets.select(F.col("key").alias(f"{side}_key"), F.col("n").alias(f"{side}_n"), F.col("sig").alias(f"{side}_sig"))
+    def screened(pairs: DataFrame, name: str) -> DataFrame:
+        """Different pairs (a, b) that the signatures allow, written."""
+        both = pairs.distinct().join(side("a"), F.col("a") == F.col("a_key")).join(side("b"), F.col("b") == F.col("b_key"))
+        both = both.select("a", "b", *[f"{s}_{c}" for c in ("n", "sig", "wide") for s in "ab"])
+        return written(map_batches(both, _screen(percent), "a long, b long"), name)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """pairs (a, b), written -> those over the threshold.
@@ -348,18 +388,16 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
         gathered = gathered.repartition(parts, "group", "part").sortWithinPartitions("group", "part", F.desc("leads"))
         return written(map_batches(gathered, _verify(percent), "a long, b long"), f"{name}-links")
 
-    stars = tiles.filter("leader <> key").select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
-    stars = stars.join(signed("a"), F.col("a") == F.col("a_key")).join(signed("b"), F.col("b") == F.col("b_key")).select("a", "b", "a_n", "b_n", "a_sig", "b_sig")
-    links = verified(written(map_batches(stars, _screen(percent), "a long, b long"), "stars"), "stars")
+    stars = tiles.filter("leader <> key").select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b"))
+    links = verified(screened(stars, "stars"), "stars")
     labels = components(links)
 
     placed = joined_small(tiles.drop("leader"), labels, ["key"]).select("token", "n", "key", F.coalesce("label", "key").alias("comp"))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select(F.col("token").alias("_t"))
     placed = written(placed.join(mixed, F.col("token") == F.col("_t"), "left_semi"), "mixed")
-    placed = placed.join(signed("a"), F.col("key") == F.col("a_key")).select("token", "n", "key", "comp", F.col("a_sig").alias("sig"))
+    placed = placed.join(side("a"), F.col("key") == F.col("a_key")).select("token", "n", "key", "comp", F.col("a_sig").alias("sig"))
     placed = placed.repartition(parts, "token").sortWithinPartitions("token", "n", "key")
-    rest = written(map_batches(placed, _compare(percent), "a long, b long").distinct(), "rest")
-    more = verified(rest, "rest")
+    more = verified(screened(map_batches(placed, _compare(percent), "a long, b long"), "rest"), "rest")
     if not more.isEmpty():
         labels = components(links.union(more))
 
