@@ -6,7 +6,7 @@ import json
 import os
 import sys
 import types
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -194,6 +194,19 @@ def piece_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     return lambda words: processor.encode(words, num_threads=1)
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are asked for; new ones are also listed."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordPieces:
     """Ids of words, as one array for many words."""
 
@@ -202,36 +215,31 @@ class WordPieces:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = _Numbers()
         self.used = 0
         self.flat = np.zeros(1 << 16, dtype=np.int32)
         self.start = np.zeros(1 << 14, dtype=np.int64)
         self.count = np.zeros(1 << 14, dtype=np.int64)
 
-    def learn(self, texts: Iterable[list[bytes]]) -> None:
-        """Makes every word of these texts known. Numbers that number() gave before are void after this."""
-        words = set().union(*texts)
-        new = words.difference(self.index)
-        if len(self.index) + len(new) > self.limit:
+    def numbers(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """Each text's words as numbers, for ids(); they are void after the next call."""
+        if len(self.index) > self.limit:
             self._clear()
-            new = words
-        if not new:
-            return
-        fresh = list(new)
-        ids = self.encode([w.decode("utf-8", "replace") for w in fresh])
-        n, more = len(self.index), len(fresh)
-        self.index.update(zip(fresh, range(n, n + more)))
-        count = np.fromiter(map(len, ids), np.int64, more)
-        end = self.used + int(count.sum())
-        self.start, self.count, self.flat = _room(self.start, n + more), _room(self.count, n + more), _room(self.flat, end)
-        self.start[n : n + more] = self.used + np.cumsum(count) - count
-        self.count[n : n + more] = count
-        self.flat[self.used : end] = np.fromiter(chain.from_iterable(ids), np.int32, end - self.used)
-        self.used = end
-
-    def number(self, words: list[bytes]) -> np.ndarray:
-        """The words' numbers in this cache."""
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        n = len(self.index)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        found = np.fromiter(map(self.index.__getitem__, chain.from_iterable(texts)), np.int64, int(lengths.sum()))
+        if fresh := self.index.new:
+            self.index.new = []
+            ids = self.encode([w.decode("utf-8", "replace") for w in fresh])
+            more = len(fresh)
+            count = np.fromiter(map(len, ids), np.int64, more)
+            end = self.used + int(count.sum())
+            self.start, self.count, self.flat = _room(self.start, n + more), _room(self.count, n + more), _room(self.flat, end)
+            self.start[n : n + more] = self.used + np.cumsum(count) - count
+            self.count[n : n + more] = count
+            self.flat[self.used : end] = np.fromiter(chain.from_iterable(ids), np.int32, end - self.used)
+            self.used = end
+        return np.split(found, np.cumsum(lengths)[:-1]) if len(texts) else []
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:
         """The ids of these words in a row."""

@@ -80,8 +80,7 @@ def _rate(path: str, bands: dict):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             words = [t.split() for t in texts]
-            pieces.learn(words)
-            rows = [_row(t, w, pieces, is_byte, bands) for t, w in zip(texts, words)]
+            rows = [_row(t, w, n, pieces, is_byte, bands) for t, w, n in zip(texts, words, pieces.numbers(words))]
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             columns = [batch.column("doc_id"), *(pa.array(c) for c in zip(*rows))] if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -89,8 +88,7 @@ def _rate(path: str, bands: dict):
     return run
 
 
-def _row(text: bytes, words: list[bytes], pieces: WordPieces, is_byte: np.ndarray, bands: dict) -> tuple:
-    numbers = pieces.number(words)
+def _row(text: bytes, words: list[bytes], numbers: np.ndarray, pieces: WordPieces, is_byte: np.ndarray, bands: dict) -> tuple:
     lines = [x for x in text.split(b"\n") if x.strip()]
     chars = len(b"".join(words).decode("utf-8", "replace"))
     symbols = len(text) - len(text.translate(None, _SYMBOLS))
