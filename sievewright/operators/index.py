@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.keys import ORDINAL_BIT, check_key, row_id
+from ..plans.parse import parse
 from ..plans.predicates import And
 from ..sources.storage import Store
 from . import bitmaps, postings
@@ -152,6 +153,10 @@ class BitmapIndex:
 
     # Queries
 
+    def where(self, text: str) -> And:
+        """The predicate of a WHERE clause."""
+        return parse(self.spark, text)
+
     def route(self, predicate: And, route: str = "auto") -> tuple[str, str]:
         """The route taken and why."""
         if route not in ("auto", "native", "bitmap"):

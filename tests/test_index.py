@@ -202,3 +202,20 @@ def test_stream(spark, index, tmp_path):
     stream = spark.readStream.schema(SCHEMA).parquet(source)
     ingest(stream, index, str(tmp_path / "checkpoint")).awaitTermination(120)
     assert both(index, all_of(Eq("s", 1))) == n + sum(r[2] == 1 for r in rows(25, 1000))
+
+
+def test_where_clauses(spark, index):
+    texts = {
+        "a = 3": all_of(Eq("a", 3)),
+        "3 = a AND t IN ('x', NULL, 'x') AND b = true": all_of(Eq("a", 3), In("t", ["x"]), Eq("b", True)),
+        "a IS NULL AND f IS NOT NULL AND d = DATE '2024-01-03'": all_of(IsNull("a"), IsNotNull("f"), Eq("d", dt.date(2024, 1, 3))),
+        "a = NULL": all_of(Eq("a", None)),
+        "a = 65538 AND s = 65538": all_of(Eq("a", 65538), Eq("s", 65538)),
+    }
+    for text, predicate in texts.items():
+        assert index.where(text) == predicate
+    for text in ("a > 3", "a <> 3", "a NOT IN (1, 2)", "NOT a = 3", "a = 1 OR s = 2", "t LIKE 'x%'", "a BETWEEN 1 AND 2", "a = s", "a + 1 = 2", "a <=> NULL", "v = 1", "b"):
+        assert not index.where(text).indexable(index.keys)
+    for text in (*texts, "a <> 3 AND s = 1", "a = 1 OR s = 2", "NOT (a = 3) AND t = 'x'", "a BETWEEN 1 AND 2 AND b = true"):
+        expected = index.table().filter(text).count()
+        assert both(index, index.where(text)) == expected
