@@ -144,7 +144,7 @@ def _encode(path: str):
         pieces = kept_in_worker(f"words:{path}", lambda: WordPieces(word_encoder(path)))
         for batch in batches:
             words = [t.split() for t in batch.column("text").to_pylist()]
-            ids = [pieces.ids(n).astype("<u2").tobytes() for n in pieces.numbers(words)]
+            ids = [pieces.ids(n).astype("<u2").tobytes() for n in pieces.of_texts(words)]
             yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
 
     return run

@@ -6,18 +6,20 @@ import json
 import os
 import sys
 import types
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import regex
 
 #: Words kept by one cache; beyond it, the cache starts anew.
-CACHE_WORDS = 800_000
-#: Words of these characters only take the short way: there NFC changes nothing, lower case goes by character, and no
-#: character is white space to one library and not to the other.
-_PLAIN = regex.compile(r"[\x21-\x7e\u00a1-\u012f\u0131-\u024f]+")
-_SPECIAL = "<|"
+CACHE_WORDS = 500_000
+#: Words with one of these go the long way. Without, NFC changes nothing, lower case goes by character, and no character
+#: is white space to one library and not to the other; nor is there a special token.
+_ODD = regex.compile(r"[^\n\x21-\x7e\u00a1-\u012f\u0131-\u024f]|<\|")
+
+#: Ids of several keys in a row, and how many each has.
+Rows = tuple[np.ndarray, np.ndarray]
 
 
 def vocabulary(name: str) -> str:
@@ -78,18 +80,23 @@ class PairMerges:
                 at[keys == np.uint64(k)] = i
         return np.where(self.keys[at] == keys, self.rank[at], self.NONE), self.new[at]
 
-    def apply(self, parts: list[bytes]) -> list[list[int]]:
-        out: list = [None] * len(parts)
+    def apply(self, parts: list[bytes]) -> Rows:
+        """The ids of every part."""
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        count, done = np.zeros(len(parts), dtype=np.int64), []
         for n in np.unique(lengths):
             at = np.flatnonzero(lengths == n)
             codes = np.frombuffer(b"".join([parts[i] for i in at]), dtype=np.uint8).reshape(len(at), n)
             ids = self.inner[codes]
             ids[:, -1] = self.last[codes[:, -1]]
             for rows, found in self._merged(ids):
-                for i, x in zip(at[rows].tolist(), found.tolist()):
-                    out[i] = x
-        return out
+                count[at[rows]] = found.shape[1]
+                done.append((at[rows], found))
+        start = np.cumsum(count) - count
+        flat = np.empty(int(count.sum()), dtype=np.int32)
+        for at, found in done:
+            flat[start[at][:, None] + np.arange(found.shape[1])] = found
+        return flat, count
 
     def _merged(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Rows that are done, with their ids."""
@@ -132,121 +139,155 @@ def byte_letters() -> list[str]:
 
 
 #: Longer parts of words are left to the library.
-PART_BYTES = 48
-
-
-def word_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Ids of each word, as the tokenizers library gives them.
+PART_CHARS = 32
 
-    White space always ends a piece of these vocabularies, so the ids of a text are those of its words in a row. The
-    library takes much longer for single words than their merges need; for plain words its pattern and merges are
-    applied here, to all new words at once. Other words go to the library itself.
-    """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    with open(path, encoding="utf-8") as file:
-        stored = json.load(file)
-    model = stored["model"]
-    merges = PairMerges(model["vocab"], model["merges"], model["end_of_word_suffix"])
-    split = regex.compile(stored["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-    known: dict[str, list[int]] = {}
-
-    def parts_of(word: str) -> list[str] | None:
-        """The parts that the pattern finds in a plain word; None for others."""
-        if word.isascii():
-            if word.isalpha():
-                return [word.lower()]
-            bare = word.rstrip(".,")
-            if bare.isalpha():
-                return [bare.lower(), word[len(bare) :]]
-        if not _PLAIN.fullmatch(word) or _SPECIAL in word:
-            return None
-        return split(word.lower())
-
-    def encode(words: list[str]) -> list[list[int]]:
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        parts = list(map(parts_of, words))
-        new = [p for p in set(chain.from_iterable(x for x in parts if x)).difference(known) if len(p) <= PART_BYTES // 2]
-        known.update(zip(new, merges.apply([p.encode() for p in new])))
-        get = known.get
-        out = []
-        for word, found in zip(words, parts):
-            ids = None
-            if found is not None:
-                if len(found) == 1:
-                    ids = get(found[0])
-                elif None not in (many := list(map(get, found))):
-                    ids = list(chain.from_iterable(many))
-            out.append(tokenizer.encode(word, add_special_tokens=False).ids if ids is None else ids)
-        return out
+def rows_of(lists: list[list[int]]) -> Rows:
+    count = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(count.sum())), count
 
-    return encode
 
+class Ragged:
+    """Rows of ids of any length, which grow in number."""
 
-def piece_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Ids of each word, by the sentencepiece library."""
-    from sentencepiece import SentencePieceProcessor
+    def __init__(self):
+        self.rows = self.used = 0
+        self.flat = np.zeros(1 << 16, dtype=np.int32)
+        self.start = np.zeros(1 << 14, dtype=np.int64)
+        self.count = np.zeros(1 << 14, dtype=np.int64)
 
-    processor = SentencePieceProcessor(model_file=path)
-    return lambda words: processor.encode(words, num_threads=1)
+    def add(self, rows: Rows) -> None:
+        flat, count = rows
+        n, end = self.rows + len(count), self.used + len(flat)
+        self.start, self.count, self.flat = _room(self.start, n), _room(self.count, n), _room(self.flat, end)
+        self.start[self.rows : n] = self.used + np.cumsum(count) - count
+        self.count[self.rows : n] = count
+        self.flat[self.used : end] = flat
+        self.rows, self.used = n, end
+
+    def take(self, numbers: np.ndarray) -> Rows:
+        """These rows one after the other, and their lengths."""
+        count = self.count[numbers]
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.arange(total) + np.repeat(self.start[numbers] - (ends - count), count)], count
 
 
 class _Numbers(dict):
-    """Numbers words in the order in which they are asked for; new ones are also listed."""
+    """Numbers what it is asked for, in the order of first asking; new ones are also listed."""
 
     def __init__(self):
         super().__init__()
-        self.new: list[bytes] = []
+        self.new: list = []
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        self.new.append(key)
         return n
 
 
-class WordPieces:
-    """Ids of words, as one array for many words."""
+class Cache:
+    """Ids of keys, each found once; past its limit it starts anew."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = CACHE_WORDS):
+    def __init__(self, encode: Callable[[list], Rows], limit: int):
         self.encode, self.limit = encode, limit
-        self._clear()
+        self.index, self.known = _Numbers(), Ragged()
 
-    def _clear(self) -> None:
-        self.index = _Numbers()
-        self.used = 0
-        self.flat = np.zeros(1 << 16, dtype=np.int32)
-        self.start = np.zeros(1 << 14, dtype=np.int64)
-        self.count = np.zeros(1 << 14, dtype=np.int64)
+    def numbers(self, keys: Iterable, n: int) -> np.ndarray:
+        """Numbers of n keys, for take(); they are void after the next call."""
+        if len(self.index) > self.limit:
+            self.index, self.known = _Numbers(), Ragged()
+        found = np.fromiter(map(self.index.__getitem__, keys), np.int64, n)
+        if self.index.new:
+            fresh, self.index.new = self.index.new, []
+            self.known.add(self.encode(fresh))
+        return found
+
+
+class WordPieces(Cache):
+    """Ids of words."""
 
-    def numbers(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+    def __init__(self, encode: Callable[[list[bytes]], Rows], limit: int = CACHE_WORDS):
+        super().__init__(encode, limit)
+
+    def of_texts(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """Each text's words as numbers, for ids(); they are void after the next call."""
-        if len(self.index) > self.limit:
-            self._clear()
-        n = len(self.index)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        found = np.fromiter(map(self.index.__getitem__, chain.from_iterable(texts)), np.int64, int(lengths.sum()))
-        if fresh := self.index.new:
-            self.index.new = []
-            ids = self.encode([w.decode("utf-8", "replace") for w in fresh])
-            more = len(fresh)
-            count = np.fromiter(map(len, ids), np.int64, more)
-            end = self.used + int(count.sum())
-            self.start, self.count, self.flat = _room(self.start, n + more), _room(self.count, n + more), _room(self.flat, end)
-            self.start[n : n + more] = self.used + np.cumsum(count) - count
-            self.count[n : n + more] = count
-            self.flat[self.used : end] = np.fromiter(chain.from_iterable(ids), np.int32, end - self.used)
-            self.used = end
+        found = self.numbers(chain.from_iterable(texts), int(lengths.sum()))
         return np.split(found, np.cumsum(lengths)[:-1]) if len(texts) else []
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:
         """The ids of these words in a row."""
-        count = self.count[numbers]
-        ends = np.cumsum(count)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.arange(total) + np.repeat(self.start[numbers] - (ends - count), count)]
+        return self.known.take(numbers)[0]
+
+
+def word_encoder(path: str) -> Callable[[list[bytes]], Rows]:
+    """Ids of each word, as the tokenizers library gives them.
+
+    White space always ends a piece of these vocabularies, so the ids of a text are those of its words in a row. The
+    library takes much longer for single words than their merges need; for plain words its pattern and merges are
+    applied here, to all new words at once. Other words go to the library itself.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as file:
+        stored = json.load(file)
+    model = stored["model"]
+    merges = PairMerges(model["vocab"], model["merges"], model["end_of_word_suffix"])
+    split = regex.compile(stored["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "|\n").findall
+
+    def library(words: Iterable[str]) -> Rows:
+        return rows_of([tokenizer.encode(w, add_special_tokens=False).ids for w in words])
+
+    def encode_parts(parts: list[str]) -> Rows:
+        short = [p for p in parts if len(p) <= PART_CHARS]
+        if len(short) == len(parts):
+            return merges.apply([p.encode() for p in parts])
+        return joined(np.array([len(p) <= PART_CHARS for p in parts]), encode_parts(short), library(p for p in parts if len(p) > PART_CHARS))
+
+    parts = Cache(encode_parts, CACHE_WORDS)
+
+    def encode(words: list[bytes]) -> Rows:
+        texts = b"\n".join(words).decode("utf-8", "replace")
+        if _ODD.search(texts):
+            each = texts.split("\n")
+            plain = np.array([not _ODD.search(w) for w in each])
+            rest = library(w for w, p in zip(each, plain) if not p)
+            if not plain.any():
+                return rest
+            return joined(plain, encode([w for w, p in zip(words, plain) if p]), rest)
+        found = split(texts.lower())
+        found.append("\n")
+        # The numbers of all parts; a line end closes a word and has no ids.
+        numbers = parts.numbers(found, len(found))
+        ends = np.flatnonzero(numbers == numbers[-1])
+        inner = np.ones(len(numbers), dtype=bool)
+        inner[ends] = False
+        flat, count = parts.known.take(numbers[inner])
+        upto = np.concatenate([[0], np.cumsum(count)])
+        return flat, np.diff(upto[ends - np.arange(len(ends))], prepend=0)
+
+    return encode
+
+
+def joined(first: np.ndarray, yes: Rows, no: Rows) -> Rows:
+    """Rows of two tables in one order: first tells of which each is."""
+    both, place = Ragged(), np.empty(len(first), dtype=np.int64)
+    both.add(yes)
+    both.add(no)
+    place[first] = np.arange(first.sum())
+    place[~first] = first.sum() + np.arange((~first).sum())
+    return both.take(place)
+
+
+def piece_encoder(path: str) -> Callable[[list[bytes]], Rows]:
+    """Ids of each word, by the sentencepiece library."""
+    from sentencepiece import SentencePieceProcessor
+
+    processor = SentencePieceProcessor(model_file=path)
+    return lambda words: rows_of(processor.encode([w.decode("utf-8", "replace") for w in words], num_threads=1))
 
 
 def _room(array: np.ndarray, size: int) -> np.ndarray:

@@ -80,7 +80,7 @@ def _rate(path: str, bands: dict):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             words = [t.split() for t in texts]
-            rows = [_row(t, w, n, pieces, is_byte, bands) for t, w, n in zip(texts, words, pieces.numbers(words))]
+            rows = [_row(t, w, n, pieces, is_byte, bands) for t, w, n in zip(texts, words, pieces.of_texts(words))]
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             columns = [batch.column("doc_id"), *(pa.array(c) for c in zip(*rows))] if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)

@@ -56,7 +56,7 @@ def test_words_have_the_librarys_ids(spark, sf_dir, odd_rows):
     texts += ["aaa aaaa aaaaaaa Aa'LL we'RE x'ss !!!???... 1234 a1b2 ñandú ÀÉ İı ſ ΑΣ. Σ é \x1c.\x1d  b", "z" * 300, "the,the.the;", "a.,b", ".,.", "'s 's's"]
     pieces = WordPieces(word_encoder(vocabulary("word_bpe_49k.json")), limit=500)
     for text in texts:
-        (numbers,) = pieces.numbers([text.encode().split()])
+        (numbers,) = pieces.of_texts([text.encode().split()])
         assert pieces.ids(numbers).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
