@@ -26,8 +26,8 @@ FIELDS = {
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: WARC files hold at most so many records each.
-FILE_RECORDS = 1000
+#: WARC files hold as many records as make about so many bytes at the mean size of a page.
+FILE_BYTES = 16 << 20
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -190,10 +190,11 @@ def write_archives(pages: DataFrame, path: str, smallest: int = 0) -> None:
     firsts = slim.groupBy("_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     firsts = written(firsts.select(F.col("_digest").alias("_d"), "first_id"), "firsts")
     slim = slim.join(firsts, slim["_digest"] == firsts["_d"], "left")
+    mean = slim.agg(F.avg(F.length("html"))).first()[0] or 0.0
     first = F.when(F.length("html") >= smallest, F.col("first_id"))
     records = map_batches(slim.select("page_id", "url", "html", first.alias("first_id")), _to_warc, "value string")
     # A record and the two line ends that close it are one line of Spark's text writer: so files go to any store.
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 1000)))).text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:

@@ -25,13 +25,15 @@ BLOCK_LOTS = 20_000
 
 
 def pack(vectors: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """Bins of the items, in the order given: each goes where its dot product with the room left is highest.
+    """Bins of the items, in the order given: each goes where its dot product with the room left is highest, of the bins
+    that have room for its bytes while there are any.
 
     vectors: items x measures; room: bins x measures, both as shares of all there is to place; room changes.
     """
     bins = np.empty(len(vectors), dtype=np.int32)
     for i, v in enumerate(vectors):
-        bins[i] = b = int(np.argmax(room @ (v * WEIGHTS)))
+        score, fits = room @ (v * WEIGHTS), room[:, 0] >= v[0]
+        bins[i] = b = int(np.argmax(np.where(fits, score, -np.inf) if fits.any() else score))
         room[b] -= v
     return bins
 
