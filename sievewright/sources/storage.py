@@ -19,9 +19,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="sievewright-"))
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/sievewright-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/sievewright-{uuid.uuid4().hex}/{name}"
+    return f"{_scratch(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what this application has written to the shared folder; results that aren't stored yet are lost."""
+    Store(spark, shared_dir(spark)).delete(_scratch(spark).rsplit("/", 1)[-1])
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
