@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -12,33 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.storage import scratch_path, shared_dir, written
+
+__all__ = ["joined_small", "map_batches", "ranked", "scratch_path", "shared_dir", "shuffle_partitions", "small_batches", "text_bytes", "written"]
+
 #: Rows of one Arrow batch; keeps a Python worker's memory small when texts are long.
 BATCH_ROWS = 512
 #: Tables of at most this many (small) rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
-_OWN_DIR: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    return _OWN_DIR.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="sievewright-"))
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sievewright-{uuid.uuid4().hex}/{name}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read back: lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches, and so the memory of a Python worker, for this session."""
