@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -26,12 +28,24 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def _give_back() -> None:
+    """Returns the memory of a finished task to the system: the worker lives on, and its peak would stay."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        gc.disable()  # many small objects live long here, and none is in a cycle
-        return function(batches)
+        gc.disable()  # many small objects live through a task, which the collector would visit again and again
+        try:
+            yield from function(batches)
+        finally:
+            gc.enable()
+            _give_back()
 
     return df.mapInArrow(run, schema)
 
