@@ -1,8 +1,8 @@
 """Lexical retrieval packing: a window is filled with the unused documents that BM25 ranks next to its seed.
 
 Documents are dealt into shards of a bounded number by a hash. Each shard holds an inverted index of its documents'
-token ids; the terms of a seed that weigh most query it, and the unused documents with the highest scores follow the
-seed until the window is full. Where a document is cut, its rest is the next seed, so windows are full without padding.
+token ids; all terms of a seed query it, and the unused documents with the highest scores follow the seed until the
+window is full. Where a document is cut, its rest is the next seed, so windows are full without padding.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ WINDOW = 2048
 SHARD_DOCS = 2048
 #: The id that ends every document.
 END = 1
-#: Terms of a seed that query the index: those of the highest weight.
-QUERY_TERMS = 24
+#: Terms that at least one document in so many has are summed as dense rows.
+DENSE = 8
 #: Neighbours that one query returns; a seed whose neighbours are used up asks again for more.
 NEIGHBOURS = 16
 #: BM25's saturation and length normalisation.
@@ -50,25 +50,32 @@ class Index:
         idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if self.n else 1.0))
         weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
-        # Each document's terms by weight, heaviest first: a prefix of them queries.
         self.first = np.concatenate([[0], np.cumsum(sizes)])
-        self.term, self.own = term, weight
+        self.term = term
         order = np.argsort(term, kind="stable")
         self.docs, self.weights = doc[order], weight[order]
         self.begin = np.concatenate([[0], np.cumsum(df)])
+        common = np.flatnonzero(df * DENSE > self.n)
+        self.row = np.full(len(df), -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n), dtype=np.float32)
+        at = np.flatnonzero(self.row[term] >= 0)
+        self.dense[self.row[term[at]], doc[at]] = weight[at]
 
     def query(self, document: int) -> np.ndarray:
-        """The terms of a document that weigh most."""
-        own = slice(self.first[document], self.first[document + 1])
-        term, weight = self.term[own], self.own[own]
-        return term[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]] if len(term) > QUERY_TERMS else term
+        """All terms of a document."""
+        return self.term[self.first[document] : self.first[document + 1]]
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """BM25 of every document for these terms."""
-        at = [slice(self.begin[t], self.begin[t + 1]) for t in terms]
-        if not at:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.docs[s] for s in at]), np.concatenate([self.weights[s] for s in at]), self.n)
+        row = self.row[terms]
+        asked = np.zeros(len(self.dense), dtype=np.float32)
+        asked[row[row >= 0]] = 1
+        total = (asked @ self.dense).astype(np.float64)
+        at = [slice(self.begin[t], self.begin[t + 1]) for t in terms[row < 0]]
+        if at:
+            total += np.bincount(np.concatenate([self.docs[s] for s in at]), np.concatenate([self.weights[s] for s in at]), self.n)
+        return total
 
 
 def pack(documents: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int, float]]:

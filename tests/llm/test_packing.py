@@ -82,3 +82,14 @@ def test_neighbours_come_together():
     for i, _, _, sequence, _, _ in pack(documents):
         together[sequence].add(i % 8)
     assert all(len(t) == 1 for t in together.values())
+
+
+def test_all_terms_of_a_seed_count():
+    rng = np.random.default_rng(8)
+    docs = [rng.permutation(400)[: rng.integers(80, 200)] for _ in range(40)]  # common terms
+    docs += [np.append(rng.permutation(np.arange(400, 4000))[:90], docs[k][:30]) for k in range(8)]  # rare ones
+    index, average = Index(docs), np.mean([len(d) for d in docs])
+    df = np.bincount(np.concatenate(docs), minlength=4000)
+    for seed in (0, 40, 47):
+        expected = [sum(np.log1p((48 - df[t] + 0.5) / (df[t] + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(d) / average)) for t in np.intersect1d(d, docs[seed])) for d in docs]
+        assert np.allclose(index.scores(index.query(seed)), expected)
