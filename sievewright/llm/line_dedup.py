@@ -1,7 +1,7 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
-A line that another one equals, or comes within a few edits of, keeps its first occurrence in the corpus. A line is cut
-into threshold + 1 segments; two lines within the threshold have a segment of one unchanged in the other, and how far
+A line that another one equals, or comes within a few edits of, keeps its first occurrence in the corpus. The
+threshold grows with the length of the shorter of the two. A line is cut into threshold + 1 segments; two lines within the threshold have a segment of one unchanged in the other, and how far
 it can have moved follows from both lengths. So every line is filed under its segments and its own length, and probes,
 for each length that a partner can have, the few substrings that may be a segment there. What meets is verified by
 Spark's edit distance with a threshold, which fills a band of the table only.
@@ -16,38 +16,45 @@ from .common import joined_small, written
 
 #: Shorter lines are left alone: headings, list items and single words recur in clean text.
 MIN_CHARS = 30
-#: Edits (insert, delete, replace a character) within which two lines count as one.
-EDITS = 1
+#: Edits (insert, delete, replace a character) within which two lines count as one: one for every so many characters of
+#: the shorter line, at least 1 and at most MAX_EDITS.
+CHARS_AN_EDIT = 20
+MAX_EDITS = 5
 #: Tables of at most so many single long keys are broadcast.
 KEYS = 1_000_000
 _BLANK = " \t\n\x0b\x0c\r"
 
 
-def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (0-based) and length of the i-th of the even parts of a line; the longer ones come last."""
-    base, more = F.floor(length / parts), F.pmod(length, F.lit(parts))
-    late = F.greatest(F.lit(0), F.lit(i - parts) + more)
-    return (base * i + late).cast("int"), (base + F.when(F.lit(i) >= parts - more, 1).otherwise(0)).cast("int")
+def allowed(length: Column, edits: int | None) -> Column:
+    """The threshold of a pair whose shorter line has this length; edits, if given, holds for every length."""
+    if edits is not None:
+        return F.lit(edits)
+    return F.greatest(F.lit(1), F.least(F.lit(MAX_EDITS), F.floor(length / CHARS_AN_EDIT))).cast("int")
 
 
-def probes(edits: int) -> list[tuple[int, int, int]]:
-    """(shorter by, segment, shift): the substrings to look up so that no pair within edits is missed.
+def segment(length: Column, i: Column, parts: Column) -> tuple[Column, Column]:
+    """Start (0-based) and length of the i-th of the even parts of a line; the longer ones come last."""
+    base, more = F.floor(length / parts), F.pmod(length, parts)
+    late = F.greatest(F.lit(0), i - parts + more)
+    return (base * i + late).cast("int"), (base + F.when(i >= parts - more, 1).otherwise(0)).cast("int")
 
-    Edits left of the segment move it by at most its number, those right of it need the rest; (0, i, 0) is the
-    line's own entry.
-    """
-    return [(less, i, d) for less in range(edits + 1) for i in range(edits + 1) for d in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1)]
 
+def entries(lines: DataFrame, edits: int | None) -> DataFrame:
+    """lines (line, length, h) -> key, h, own: what each line is filed under (own) and looks up.
 
-def entries(lines: DataFrame, edits: int) -> DataFrame:
-    """lines (line, length, h) -> key, h, own: what each line is filed under (own) and looks up."""
-    found = []
-    for less, i, shift in probes(edits):
-        target = F.col("length") - less
-        start, size = segment(target, i, edits + 1)
-        key = F.xxhash64(target, F.lit(i), F.substring(F.col("line"), start + (1 + shift), size))
-        found.append(F.struct(key.alias("key"), F.lit(less == 0 and shift == 0).alias("own")))
-    return lines.select("h", F.explode(F.array(*found)).alias("e")).select("e.key", "h", "e.own")
+    For each length that a shorter partner can have, each of the partner's segments and each shift: edits left of the
+    segment move it by at most its number, those right of it need the rest, so no pair within the threshold is missed.
+    less = 0 with shift = 0 is the line's own entry.
+    """
+    most = MAX_EDITS if edits is None else edits
+    at = lines.select("h", "line", "length", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("less"))
+    at = at.withColumn("target", F.col("length") - F.col("less")).withColumn("most", allowed(F.col("target"), edits)).filter("less <= most AND target > 0")
+    at = at.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("most"))))
+    at = at.withColumn("from", F.expr("greatest(-i, less - (most - i))")).withColumn("to", F.expr("least(i, less + most - i)")).filter("from <= to")
+    at = at.withColumn("shift", F.explode(F.sequence("from", "to")))
+    start, size = segment(F.col("target"), F.col("i"), F.col("most") + 1)
+    key = F.xxhash64("target", "i", F.substring(F.col("line"), start + F.lit(1) + F.col("shift"), size))
+    return at.select(key.alias("key"), "h", F.expr("less = 0 AND shift = 0").alias("own"))
 
 
 def corpus_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -58,8 +65,8 @@ def corpus_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return rows.filter(F.col("length") >= min_chars).withColumn("h", F.xxhash64("line", "length"))
 
 
-def near_lines(lines: DataFrame, edits: int) -> DataFrame:
-    """Pairs (a < b) of hashes of different lines within edits of each other."""
+def near_lines(lines: DataFrame, edits: int | None) -> DataFrame:
+    """Pairs (a < b) of hashes of different lines within edits of each other; None: as allowed for their lengths."""
     looked_up = entries(lines, edits)
     met = looked_up.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key")
     met = written(joined_small(looked_up, written(met, "met-keys"), ["key"], "left_semi", KEYS).distinct(), "met")
@@ -71,15 +78,16 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     texts = written(joined_small(lines.select("h", "line"), hashes, ["h"], "left_semi", KEYS).groupBy("h").agg(F.min("line").alias("line")), "texts")
     both = pairs.join(texts.select(F.col("h").alias("_a"), F.col("line").alias("la")), F.col("a") == F.col("_a"))
     both = both.join(texts.select(F.col("h").alias("_b"), F.col("line").alias("lb")), F.col("b") == F.col("_b"))
-    return both.filter(F.levenshtein("la", "lb", edits) >= 0).select("a", "b")
+    both = both.withColumn("most", allowed(F.least(F.char_length("la"), F.char_length("lb")), edits))
+    return both.filter("levenshtein(la, lb, most) >= 0").select("a", "b")
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int | None = None, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
     """documents -> doc_id, text, n_lines, n_repeated, n_near, n_left and the columns named in keep, one row a document.
 
     Lines of at least min_chars characters, without outer white space, are compared. A line goes (n_repeated) if it
-    equals one before it in the corpus, or else (n_near) if a line within edits of it stands before the first of its own
-    kind. Documents are in order of doc_id, then of a hash of the text; n_left counts the lines left that aren't blank.
+    equals one before it in the corpus, or else (n_near) if a line within edits of it (None: as many as allowed for
+    the lengths) stands before the first of its own kind. Documents are in order of doc_id, then of a hash of the text; n_left counts the lines left that aren't blank.
     Lines count as equal if a 64-bit hash and their lengths are.
     Nulls: a null text stays null, without lines; null doc_ids come last. Rows alike in doc_id and text count as one
     document: none of them loses lines to another. An empty table gives none. Columns not in keep are not read.

@@ -106,3 +106,19 @@ def test_whole_table(spark, sf_dir):
 def test_no_python_on_executors(spark, sf_dir):
     plan = op8_line_dedup(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_longer_lines_allow_more_edits(make_docs, tmp_path, spark):
+    rng = random.Random(6)
+    bases = ["".join(rng.choice("abcdefghijklmnopé ") for _ in range(n)).strip() for n in (32, 41, 62, 81, 103, 240, 400) for _ in range(8)]
+    rows = []
+    for i, x in enumerate(bases):
+        rows.append((2 * i, x))
+        for _ in range(rng.randrange(1, 8)):
+            k = rng.randrange(len(x))
+            x = rng.choice([x[:k] + x[k + 1 :], x[:k] + "q" + x[k:], x[:k] + "ü" + x[k + 1 :]])
+        rows.append((2 * i + 1, x))
+    near = {i: any(within(x, y, max(1, min(5, min(len(x), len(y)) // 20))) for _, y in rows[:i]) for i, x in rows}
+    assert 10 < sum(near.values()) < len(bases) and any(near[i] and not within(rows[i][1], rows[i - 1][1], 1) for i in near if i % 2)
+    make_docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["n_near"] == 1 for r in op8_line_dedup(spark, str(tmp_path)).collect()} == near
