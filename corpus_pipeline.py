@@ -20,9 +20,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told go; a language that was missing is filled in."""
-    found = identify_languages(docs, docs, keep=COLUMNS).filter("lang_pred <> 'und'")
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    """Documents without a letter, or too improbable in every language learnt, go; a language that was missing is filled in.
+
+    Nothing goes and nothing is filled in if no document has a language.
+    """
+    found = identify_languages(docs, docs, keep=COLUMNS).filter("likely")
+    return found.withColumn("lang", F.coalesce("lang", F.expr("nullif(lang_pred, 'und')"))).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

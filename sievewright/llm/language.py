@@ -29,6 +29,10 @@ SAMPLE_DOCS = 300
 #: Most languages that are learnt.
 LANGUAGES = 256
 ROUNDS = 3
+#: A text is unlike its language if its words are less probable than the training's by so much, in nats a character, and
+#: by SLACK nats besides, so that a few characters don't decide.
+MARGIN = 2.2
+SLACK = 10.0
 #: Words of which scores are kept.
 CACHE_WORDS = 300_000
 MARK = "▁"
@@ -142,6 +146,11 @@ def word_list(text: bytes) -> list[str]:
     return text.decode("utf-8", "replace").lower().split()
 
 
+def plain_sizes(words: list[str]) -> np.ndarray:
+    """Characters of each word with its mark; 0 for words with digits (numbers, addresses, codes), which have no language."""
+    return np.array([0 if any(map(str.isdigit, w)) else len(w) + 1 for w in words], dtype=np.float64)
+
+
 def vocabulary_pieces(path: str) -> list[str]:
     from sentencepiece import SentencePieceProcessor
 
@@ -149,8 +158,8 @@ def vocabulary_pieces(path: str) -> list[str]:
     return [processor.id_to_piece(i).lower() for i in range(processor.vocab_size()) if not (processor.is_byte(i) or processor.is_control(i) or processor.is_unknown(i))]
 
 
-def fit_languages(training: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
-    """The languages and their piece probabilities, from a sample of training (text, lang, doc_id).
+def fit_languages(training: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The languages, their piece probabilities and usual log probability a character, from a sample of training (text, lang, doc_id).
 
     About sample_docs documents of every language, by a hash of doc_id and text: that is what comes to the driver.
     """
@@ -159,7 +168,7 @@ def fit_languages(training: DataFrame, pieces: list[str], sample_docs: int = SAM
     languages = sorted(totals)
     lattice = Lattice(pieces)
     if not languages:
-        return [], np.zeros((lattice.size, 0))
+        return [], np.zeros((lattice.size, 0)), np.zeros(0)
     part = F.lit(0)
     for lang in languages:
         part = F.when(F.col("lang") == lang, F.lit(int(min(1.0, sample_docs / totals[lang]) * 1_000_000) + 1)).otherwise(part)
@@ -169,53 +178,66 @@ def fit_languages(training: DataFrame, pieces: list[str], sample_docs: int = SAM
     pairs = np.array([(index.setdefault(w, len(index)), place[r["lang"]]) for r in rows for w in r["text"].lower().split()], dtype=np.int64).reshape(-1, 2)
     counts = np.zeros((len(index), len(languages)))
     np.add.at(counts, (pairs[:, 0], pairs[:, 1]), 1.0)
-    return languages, fit(list(index), counts, lattice)
+    words = list(index)
+    p = fit(words, counts, lattice)
+    sizes = plain_sizes(words)
+    plain = counts * (sizes > 0)[:, None]
+    usual = (plain * log_scores(words, lattice, p)).sum(axis=0) / np.maximum(1.0, (plain * sizes[:, None]).sum(axis=0))
+    return languages, p, usual
 
 
 def _identify(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, pieces, p = shared.value
-        lattice, index, scores = Lattice(pieces), {}, np.zeros((0, len(languages)))
+        languages, pieces, p, usual = shared.value
+        lattice, index, scores, sizes = Lattice(pieces), {}, np.zeros((0, len(languages))), np.zeros(0)
         for batch in batches:
             texts = [t.decode("utf-8", "replace") for t in batch.column("_bytes").to_pylist()]
             words = [t.lower().split() for t in texts]
             new = set().union(*words).difference(index.keys())
             if len(index) + len(new) > CACHE_WORDS:
-                index, scores, new = {}, scores[:0], set().union(*words)
+                index, scores, sizes, new = {}, scores[:0], sizes[:0], set().union(*words)
             if new and languages:
                 fresh = list(new)
                 index.update(zip(fresh, range(len(index), len(index) + len(fresh))))
                 scores = np.concatenate([scores, log_scores(fresh, lattice, p)])
-            said, sure = [], []
+                sizes = np.concatenate([sizes, plain_sizes(fresh)])
+            said, sure, likely = [], [], []
             for text, ws in zip(texts, words):
                 if not languages or not any(map(str.isalpha, text)):
                     said.append("und")
                     sure.append(0.0)
+                    likely.append(not languages)
                     continue
-                total = scores[np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
+                at = np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))
+                total = scores[at].sum(axis=0)
                 k = int(total.argmax())
                 said.append(languages[k])
                 sure.append(float(1.0 / np.exp(np.minimum(total - total[k], 0.0)).sum()))
+                size = sizes[at]
+                # Words with digits count only if there are no others.
+                reached, size = (scores[at[size > 0], k].sum(), size.sum()) if size.any() else (total[k], sum(map(len, ws)) + len(ws))
+                likely.append(bool(reached >= (usual[k] - MARGIN) * size - SLACK))
             names = [n for n in batch.schema.names if n != "_bytes"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(said, pa.string()), pa.array(sure, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(said, pa.string()), pa.array(sure, pa.float64()), pa.array(likely, pa.bool_())], names=[*names, "lang_pred", "score", "likely"])
 
     return run
 
 
 def identify_languages(docs: DataFrame, training: DataFrame, keep: tuple[str, ...] = ("doc_id",), vocabulary_path: str | None = None) -> DataFrame:
-    """docs -> the columns named in keep, lang_pred, score.
+    """docs -> the columns named in keep, lang_pred, score, likely.
 
     The models are fitted to training; nothing but the text of docs enters a prediction. score is the posterior of
-    the language given the whole text, with equal priors.
+    the language given the whole text, with equal priors. likely is false for und, and where the text is far less probable
+    a character than the training texts of lang_pred: junk, or a language that isn't learnt.
     Nulls: a null text, and one without a letter, is und with score 0; training rows without text or language don't
-    count. With no language learnt all is und. Repeated rows are predicted each; equal texts get equal predictions. An
+    count. With no language learnt all is und, and likely, as nothing can be told. Repeated rows are predicted each; equal texts get equal predictions. An
     empty table gives none. Columns not in keep are not read.
     """
     pieces = vocabulary_pieces(vocabulary_path or vocabulary("piece_bpe_32k.model"))
-    languages, p = fit_languages(training, pieces)
-    shared = docs.sparkSession.sparkContext.broadcast((languages, pieces, p))
+    languages, p, usual = fit_languages(training, pieces)
+    shared = docs.sparkSession.sparkContext.broadcast((languages, pieces, p, usual))
     slim = docs.select(*keep, text_bytes().alias("_bytes"))
-    schema = T.StructType([*slim.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*slim.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("likely", T.BooleanType())])
     return map_batches(slim, _identify(shared), schema)
 
 

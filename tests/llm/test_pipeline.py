@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from test_line_dedup import brute as brute_lines
 from test_mixing import check as check_mix
 from test_ngram_join import brute as brute_groups
@@ -92,3 +93,25 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, "").count() == 0, name
+
+
+def test_language_id_rejects_junk_and_foreign_text(spark):
+    rng = random.Random(3)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    clean = [(r["doc_id"], r["text"], r["lang"], "s", 1) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("n_chars > 200").collect()]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    planted = [
+        " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(60)),
+        " ".join(f"{rng.getrandbits(32):08x}" for _ in range(40)),
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "人人生而自由 在尊严和权利上一律平等 他们赋有理性和良心",
+    ]
+    english = (-100, "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience.", None, "s", 1)
+    docs = spark.createDataFrame([*clean, english, *[(-1 - i, t, None, "s", 1) for i, t in enumerate(planted)]], schema)
+    stage = dict(corpus_pipeline.STAGES)["language id"]
+    kept = {r[0]: r[2] for r in rows_of(stage(spark, docs, ""))}
+    assert set(kept) == {-100, *(r[0] for r in clean)} and kept[-100] == "en"
+    # Without any label nothing can be told, and nothing goes.
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(rows_of(stage(spark, bare, "")), key=str) == sorted(rows_of(bare), key=str)
