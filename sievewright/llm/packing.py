@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, shuffle_partitions, text_bytes
+from .common import map_batches, shuffle_partitions, text_bytes, written
 from .pieces import WordPieces, kept_in_worker, vocabulary, word_encoder
 
 WINDOW = 2048
@@ -36,9 +36,12 @@ SCHEMA = (
 
 
 class Index:
-    """An inverted index of documents given as arrays of ids, with BM25 weights."""
+    """An inverted index of documents given as arrays of ids, with BM25 weights.
 
-    def __init__(self, documents: list[np.ndarray]):
+    corpus: the documents, their mean length and each term's document frequency in the whole corpus; else those given.
+    """
+
+    def __init__(self, documents: list[np.ndarray], corpus: tuple[int, float, np.ndarray] | None = None):
         self.n = len(documents)
         terms, counts = zip(*(np.unique(d, return_counts=True) for d in documents)) if documents else ((), ())
         sizes = np.fromiter(map(len, terms), np.int64, self.n)
@@ -47,8 +50,9 @@ class Index:
         tf = np.concatenate(counts).astype(np.float64) if self.n else np.zeros(0)
         doc = np.repeat(np.arange(self.n), sizes)
         df = np.bincount(term, minlength=1)
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if self.n else 1.0))
+        n, mean, frequency = corpus or (self.n, lengths.mean() if self.n else 1.0, df)
+        idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
+        norm = K1 * (1 - B + B * lengths / max(1.0, mean))
         weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
         self.first = np.concatenate([[0], np.cumsum(sizes)])
         self.term = term
@@ -78,7 +82,7 @@ class Index:
         return total
 
 
-def pack(documents: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int, float]]:
+def pack(documents: list[np.ndarray], corpus: tuple[int, float, np.ndarray] | None = None) -> Iterator[tuple[int, int, int, int, int, float]]:
     """(document, start, length, sequence, offset, score) of every piece, in order of sequence and offset.
 
     A document longer than a window fills whole windows first; its rest is packed. What is left at the end goes into
@@ -95,7 +99,7 @@ def pack(documents: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int,
     free = rest < np.array(lengths, dtype=np.int64)
     # Seeds by what they have left, most first.
     order = sorted(np.flatnonzero(free).tolist(), key=lambda i: (rest[i] - lengths[i], i))
-    index, upcoming, seed = Index(documents), iter(order), None
+    index, upcoming, seed = Index(documents, corpus), iter(order), None
     pieces: list[tuple[int, int, int, float]] = []
     room = WINDOW
     while True:
@@ -157,28 +161,54 @@ def _encode(path: str):
     return run
 
 
-def _packed(shard: int, rows: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
+def _packed(shard: int, rows: list[tuple[int | None, bytes]], corpus: tuple[int, float, np.ndarray]) -> pa.RecordBatch:
     documents = [np.append(np.frombuffer(ids, dtype="<u2"), np.uint16(END)) for _, ids in rows]
     out = []
-    for i, start, length, sequence, offset, score in pack(documents):
+    for i, start, length, sequence, offset, score in pack(documents, corpus):
         crc = zlib.crc32(documents[i][start : start + length].astype("<u4").tobytes())
         out.append((rows[i][0], start, length, crc, len(documents[i]), (shard << 32) | sequence, offset, score))
     kinds = [*[pa.int64()] * 7, pa.float64()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def _pack_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of shard: one shard at a time is held."""
-    shard, rows = None, []
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ids -> (term, n): document frequencies; documents as term -1 and their ids as -2."""
+    df, documents, tokens = np.zeros(1 << 16, dtype=np.int64), 0, 0
     for batch in batches:
-        for s, doc_id, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "ids"))):
-            if s != shard:
-                if rows:
-                    yield _packed(shard, rows)
-                shard, rows = s, []
-            rows.append((doc_id, ids))
-    if rows:
-        yield _packed(shard, rows)
+        for ids in batch.column("ids").to_pylist():
+            own = np.append(np.frombuffer(ids, dtype="<u2"), np.uint16(END))
+            df[np.unique(own)] += 1
+            documents, tokens = documents + 1, tokens + len(own)
+    terms = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, [-1, -2])), pa.array(np.append(df[terms], [documents, tokens]))], names=["term", "n"])
+
+
+def corpus_counts(encoded: DataFrame) -> tuple[int, float, np.ndarray]:
+    """Documents, mean length and document frequencies of the whole corpus: a row a term comes to the driver."""
+    rows = map_batches(encoded.select("ids"), _count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counts = {r["term"]: r["n"] for r in rows}
+    documents, tokens = counts.pop(-1, 0), counts.pop(-2, 0)
+    df = np.zeros(1 << 16, dtype=np.int64)
+    df[list(counts)] = list(counts.values())
+    return documents, tokens / max(1, documents), df
+
+
+def _pack_shards(shared):
+    """Rows in order of shard: one shard at a time is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, rows = None, []
+        for batch in batches:
+            for s, doc_id, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "ids"))):
+                if s != shard:
+                    if rows:
+                        yield _packed(shard, rows, shared.value)
+                    shard, rows = s, []
+                rows.append((doc_id, ids))
+        if rows:
+            yield _packed(shard, rows, shared.value)
+
+    return run
 
 
 def pack_documents(docs: DataFrame, vocabulary_path: str | None = None, shard_docs: int = SHARD_DOCS) -> DataFrame:
@@ -192,8 +222,10 @@ def pack_documents(docs: DataFrame, vocabulary_path: str | None = None, shard_do
     shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int")
     slim = docs.select(shard.alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     encoded = map_batches(slim, _encode(vocabulary_path or vocabulary("word_bpe_49k.json")), "shard int, doc_id long, ids binary")
+    encoded = written(encoded, "encoded")
+    shared = docs.sparkSession.sparkContext.broadcast(corpus_counts(encoded))
     laid = encoded.repartition(parts, "shard").sortWithinPartitions("shard", "doc_id", "ids")
-    return map_batches(laid, _pack_shards, SCHEMA)
+    return map_batches(laid, _pack_shards(shared), SCHEMA)
 
 
 def op3_retrieval_packing(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 from tokenizers import Tokenizer
 
-from sievewright.llm.packing import Index, op3_retrieval_packing, pack, pack_documents
+from sievewright.llm.packing import Index, corpus_counts, op3_retrieval_packing, pack, pack_documents
 from sievewright.llm.pieces import WordPieces, vocabulary, word_encoder
 
 LIBRARY = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
@@ -93,3 +93,14 @@ def test_all_terms_of_a_seed_count():
     for seed in (0, 40, 47):
         expected = [sum(np.log1p((48 - df[t] + 0.5) / (df[t] + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(d) / average)) for t in np.intersect1d(d, docs[seed])) for d in docs]
         assert np.allclose(index.scores(index.query(seed)), expected)
+
+
+def test_scores_are_of_the_whole_corpus(spark):
+    docs = [np.array(x, dtype="<u2") for x in ([5, 6, 6, 7], [6, 7, 8], [9, 9, 9, 10], [5, 10], [5, 8, 8, 8, 8])]
+    encoded = spark.createDataFrame([(bytearray(d.tobytes()),) for d in docs], "ids binary").repartition(3)
+    n, mean, df = corpus = corpus_counts(encoded)
+    assert (n, mean, [int(df[t]) for t in (1, 5, 6, 7, 8, 9, 10, 11)]) == (5, np.mean([len(d) + 1 for d in docs]), [5, 3, 2, 2, 2, 1, 2, 0])
+    shard = [np.append(d, np.uint16(1)) for d in docs[:2]]
+    index = Index(shard, corpus)
+    expected = [sum(np.log1p((5 - df[t] + 0.5) / (df[t] + 0.5)) * (d == t).sum() * 2.2 / ((d == t).sum() + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in (1, 5, 6, 7)) for d in shard]
+    assert np.allclose(index.scores(index.query(0)), expected)
