@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from ..sources.storage import scratch_path, shared_dir, written
 
-__all__ = ["joined_small", "map_batches", "ranked", "scratch_path", "shared_dir", "shuffle_partitions", "small_batches", "text_bytes", "written"]
+__all__ = ["joined_small", "joined_spread", "map_batches", "ranked", "scratch_path", "shared_dir", "shuffle_partitions", "small_batches", "text_bytes", "written"]
 
 #: Rows of one Arrow batch; keeps a Python worker's memory small when texts are long.
 BATCH_ROWS = 512
@@ -70,6 +70,33 @@ def joined_small(left: DataFrame, right: DataFrame, on: Sequence[str], how: str
     return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in on])
 
 
+#: A key that holds over one row in so many is hot: there are fewer such keys than this number. Their rows are dealt out
+#: over as many parts as they fill shares of that size.
+HOT_SHARE = 1000
+#: No key of fewer rows is hot.
+HOT_ROWS = 1000
+
+
+def joined_spread(left: DataFrame, right: DataFrame, key: str, other: str, by: str, counted: str | None = None) -> DataFrame:
+    """Inner join of left.key with right.other, one row a key on the right; a key with many rows on the left is cut by a hash of by.
+
+    right is broadcast if its counted rows are few. Else the rows of each hot key are counted, at most HOT_SHARE such counts come to the
+    driver, and right's row is repeated for each part. counted: the column of right that has the counts already. right's key is dropped.
+    """
+    if right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), F.col(key) == F.col(other)).drop(other)
+    times = right.select(F.col(other).alias("_k"), F.col(counted).alias("_n")) if counted else left.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    times = written(times, "times")
+    least = max(HOT_ROWS, (times.agg(F.sum("_n")).first()[0] or 0) // HOT_SHARE)
+    hot = {r["_k"]: min(HOT_SHARE, -(-r["_n"] // least)) for r in times.filter(F.col("_n") > least).collect()}
+    if not hot:
+        return left.join(right, F.col(key) == F.col(other)).drop(other)
+    parts = F.broadcast(left.sparkSession.createDataFrame(list(hot.items()), "_hot long, _parts int"))
+    left = left.join(parts, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0)).cast("int")).drop("_hot", "_parts")
+    right = right.join(parts, F.col(other) == F.col("_hot"), "left").withColumn("_other_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_hot", "_parts")
+    return left.join(right, (F.col(key) == F.col(other)) & (F.col("_part") == F.col("_other_part"))).drop(other, "_part", "_other_part")
+
+
 def ranked(df: DataFrame, order: Sequence[str], group: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """df with a gapless 0-based rank within group, in the order of group and then order (nulls first).
 

@@ -1,10 +1,19 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
-A line that another one equals, or comes within a few edits of, keeps its first occurrence in the corpus. The
-threshold grows with the length of the shorter of the two. A line is cut into threshold + 1 segments; two lines within the threshold have a segment of one unchanged in the other, and how far
-it can have moved follows from both lengths. So every line is filed under its segments and its own length, and probes,
-for each length that a partner can have, the few substrings that may be a segment there. What meets is verified by
-Spark's edit distance with a threshold, which fills a band of the table only.
+A line that another one equals, or comes within a few edits of, keeps its first occurrence in the corpus. The threshold
+grows with the length of the shorter of the two.
+
+Lengths are cut into bands with one threshold each. A line of a band is split into threshold + 1 segments of one size, the
+first half of them counted from the line's start, the others from its end. Of two lines within the threshold, either
+the first half of the segments holds fewer edits than it has segments, or the second half does; in that half the first
+segment that no edit touched has at most as many edits before it as segments. So a line is filed under its segments, and
+looks up, for its own band and the one below, each segment shifted by no more than its place: about a fourth of the
+substrings that segments of exact lengths would need. What meets is verified by a banded bit-parallel edit distance.
+
+Only whether an earlier line is near is asked, so pairs are never listed within a bucket. Every member is held against the
+bucket's first line; what that settles asks nothing more. Small buckets compare what is left. Lines of large buckets, which
+have much text in common, are split once more into finer pieces and filed under their threshold + 1 rarest ones: any
+so many disjoint pieces hold an untouched one, and the rare ones are those that the crowd doesn't share.
 """
 
 from __future__ import annotations
@@ -12,113 +21,300 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_small, written
+from .common import joined_small, joined_spread, shuffle_partitions, written
 
-#: Shorter lines are left alone: headings, list items and single words recur in clean text.
-MIN_CHARS = 30
+#: Lines of fewer characters are compared for equality only: a few characters tell headings and list items apart.
+NEAR_CHARS = 30
 #: Edits (insert, delete, replace a character) within which two lines count as one: one for every so many characters of
-#: the shorter line, at least 1 and at most MAX_EDITS.
+#: the shorter line, at least 1 and at most MAX_EDITS. A band of lengths is as wide.
 CHARS_AN_EDIT = 20
 MAX_EDITS = 5
+#: Most edits that can be asked for; more would reach beyond the next band.
+MOST_EDITS = CHARS_AN_EDIT - 1
+#: Buckets of more lines are split by finer pieces, about so many for each segment and of so many characters at least.
+LARGE_BUCKET = 16
+FINER, PIECE_CHARS = 4, 4
 #: Tables of at most so many single long keys are broadcast.
 KEYS = 1_000_000
 _BLANK = " \t\n\x0b\x0c\r"
 
 
-def allowed(length: Column, edits: int | None) -> Column:
-    """The threshold of a pair whose shorter line has this length; edits, if given, holds for every length."""
-    if edits is not None:
-        return F.lit(edits)
-    return F.greatest(F.lit(1), F.least(F.lit(MAX_EDITS), F.floor(length / CHARS_AN_EDIT))).cast("int")
+class Rule:
+    """How many edits lines of a length allow, and how a band of lengths is cut. edits: one threshold for every length."""
+
+    def __init__(self, edits: int | None = None, near_chars: int = NEAR_CHARS):
+        if edits is not None and not 0 <= edits <= MOST_EDITS:
+            raise ValueError(f"edits must be between 0 and {MOST_EDITS}, not {edits}")
+        self.edits, self.most = edits, MAX_EDITS if edits is None else edits
+        # A line of no more characters than edits would be near every other such line.
+        self.least = max(near_chars, self.most + 1 if edits is not None else 1, 1)
+
+    def of_band(self, band: Column) -> Column:
+        """The threshold of the lines of a band."""
+        return F.lit(self.edits) if self.edits is not None else F.greatest(F.lit(1), F.least(F.lit(MAX_EDITS), band)).cast("int")
+
+    def allowed(self, length: Column) -> Column:
+        """The threshold of a pair whose shorter line has this length."""
+        return F.when(length >= self.least, self.of_band(self.band(length))).otherwise(F.lit(0))
+
+    @staticmethod
+    def band(length: Column) -> Column:
+        return F.floor(length / CHARS_AN_EDIT).cast("int")
+
+    def shortest(self, band: Column) -> Column:
+        """The length of the shortest line of a band."""
+        return F.greatest(band * CHARS_AN_EDIT, F.lit(self.least))
+
+    def targets(self, length: Column) -> Column:
+        """The bands in which shorter partners, or equally long ones, can be: the line's own, and at times the one below."""
+        own = self.band(length)
+        below = own - 1
+        reach = (length - (own * CHARS_AN_EDIT - 1) <= self.of_band(below)) & (own * CHARS_AN_EDIT > self.least)
+        return F.when(reach, F.array(own, below)).otherwise(F.array(own))
+
+
+def _constant(rows: list[tuple[int, ...]], names: tuple[str, ...]) -> Column:
+    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])
+
 
+def _probes(edits: int) -> list[tuple[int, int, int]]:
+    """Side (0: counted from the start, 1: from the end), place and shift of every substring looked up."""
+    first = (edits + 2) // 2
+    return [(side, i, shift) for side, n in ((0, first), (1, edits + 1 - first)) for i in range(n) for shift in range(-i, i + 1)]
 
-def segment(length: Column, i: Column, parts: Column) -> tuple[Column, Column]:
-    """Start (0-based) and length of the i-th of the even parts of a line; the longer ones come last."""
-    base, more = F.floor(length / parts), F.pmod(length, parts)
-    late = F.greatest(F.lit(0), i - parts + more)
-    return (base * i + late).cast("int"), (base + F.when(i >= parts - more, 1).otherwise(0)).cast("int")
 
+def _piece(line: Column, length: Column, side: Column, i: Column, size: Column, shift: Column) -> Column:
+    """The i-th piece of a side, shifted."""
+    start = F.when(side == 0, i * size).otherwise(length - (i + 1) * size) + shift
+    return F.substring(line, (F.greatest(start, F.lit(0)) + 1).cast("int"), size.cast("int"))
 
-def entries(lines: DataFrame, edits: int | None) -> DataFrame:
-    """lines (line, length, h) -> key, h, own: what each line is filed under (own) and looks up.
 
-    For each length that a shorter partner can have, each of the partner's segments and each shift: edits left of the
-    segment move it by at most its number, those right of it need the rest, so no pair within the threshold is missed.
-    less = 0 with shift = 0 is the line's own entry.
+def entries(lines: DataFrame, rule: Rule) -> DataFrame:
+    """lines (line, length, h) -> key, h, own: what each line is filed under (own) and looks up."""
+    at = lines.filter(F.col("length") >= rule.least).withColumn("band", F.explode(rule.targets(F.col("length"))))
+    specs = [_constant(_probes(k), ("side", "i", "shift")) for k in ([rule.most] if rule.edits is not None else range(1, MAX_EDITS + 1))]
+    edits = rule.of_band(F.col("band"))
+    mine = specs[0] if len(specs) == 1 else F.element_at(F.array(*specs), edits)
+    at = at.withColumn("size", F.floor(rule.shortest(F.col("band")) / (edits + 1)).cast("int")).withColumn("p", F.explode(mine))
+    text = _piece(F.col("line"), F.col("length"), F.col("p.side"), F.col("p.i"), F.col("size"), F.col("p.shift"))
+    own = (F.col("p.shift") == 0) & (F.col("band") == rule.band(F.col("length")))
+    return at.select(F.xxhash64("band", "p.side", "p.i", text).alias("key"), "h", own.alias("own"))
+
+
+def fine_pieces(lines: DataFrame, rule: Rule, shifts: bool) -> DataFrame:
+    """lines (h, line, length) -> h, key, band, side, i: finer pieces of each line's own band, or, with shifts, all that it looks up."""
+    at = lines.withColumn("band", F.explode(rule.targets(F.col("length"))) if shifts else rule.band(F.col("length")))
+    edits, shortest = rule.of_band(F.col("band")), rule.shortest(F.col("band"))
+    n = F.greatest(edits + 1, F.least((edits + 1) * FINER, F.floor(shortest / PIECE_CHARS)))
+    at = at.withColumn("edits", edits.cast("int")).withColumn("n", n.cast("int")).withColumn("size", F.floor(shortest / n).cast("int"))
+    at = at.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    first = F.ceil(F.col("n") / 2).cast("int")
+    at = at.withColumn("side", F.when(F.col("q") < first, 0).otherwise(1)).withColumn("i", F.when(F.col("q") < first, F.col("q")).otherwise(F.col("n") - 1 - F.col("q")))
+    most = F.least("i", "edits")
+    at = at.withColumn("shift", F.explode(F.sequence(-most, most)) if shifts else F.lit(0))
+    text = _piece(F.col("line"), F.col("length"), F.col("side"), F.col("i"), F.col("size"), F.col("shift"))
+    return at.select("h", F.xxhash64("band", "side", "i", F.lit("fine"), text).alias("key"), "edits", "q")
+
+
+def bit_parallel_distance(a: Column, b: Column, most: int) -> Column:
+    """The edit distance of a to b, which is at least as long, if it is at most most; else something larger. Nulls give null.
+
+    A row for each character of a holds the 2 * most + 1 cells next to the diagonal as bits: where the value rises by one
+    to the next cell (up), where it falls (down), and how the diagonal of the last cell stands (score). Once that is
+    over most, the rest of the rows is passed over.
     """
-    most = MAX_EDITS if edits is None else edits
-    at = lines.select("h", "line", "length", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("less"))
-    at = at.withColumn("target", F.col("length") - F.col("less")).withColumn("most", allowed(F.col("target"), edits)).filter("less <= most AND target > 0")
-    at = at.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("most"))))
-    at = at.withColumn("from", F.expr("greatest(-i, less - (most - i))")).withColumn("to", F.expr("least(i, less + most - i)")).filter("from <= to")
-    at = at.withColumn("shift", F.explode(F.sequence("from", "to")))
-    start, size = segment(F.col("target"), F.col("i"), F.col("most") + 1)
-    key = F.xxhash64("target", "i", F.substring(F.col("line"), start + F.lit(1) + F.col("shift"), size))
-    return at.select(key.alias("key"), "h", F.expr("less = 0 AND shift = 0").alias("own"))
-
-
-def corpus_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    width = 2 * most + 1
+    if width > 62:
+        raise ValueError("the band must fit into a long")
+    every = (1 << width) - 1
+    chars = lambda x: F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0))
+    edge = F.array_repeat(F.lit(""), most)
+
+    def row(both: Column, state: Column, i: Column) -> Column:
+        x, y, ahead, up, down = both["x"], both["y"], both["ahead"], state["up"], state["down"]
+        equal = F.lit(0).cast("long")
+        for d in range(width):
+            equal = equal.bitwiseOR(F.when(F.get(y, i + d) == F.get(x, i), F.lit(1 << d).cast("long")).otherwise(F.lit(0).cast("long")))
+        # A step along the diagonal costs nothing where same has a bit.
+        matched = equal.bitwiseOR(down)
+        same = (matched.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(matched).bitwiseAND(F.lit(every).cast("long"))
+        return F.transform(
+            F.array(same),
+            lambda s: F.struct(
+                s.bitwiseAND(up).bitwiseOR(F.lit(every).cast("long").bitwiseAND(F.bitwise_not(down.bitwiseOR(F.bitwise_not(s.bitwiseOR(up))).bitwiseOR(F.shiftright(s, 1))))).alias("up"),
+                F.shiftright(s, 1).bitwiseAND(down.bitwiseOR(F.lit(every).cast("long").bitwiseAND(F.bitwise_not(s.bitwiseOR(up))))).alias("down"),
+                (state["score"] + F.lit(1) - F.getbit(s, ahead + most).cast("int")).alias("score"),
+            ),
+        )[0]
+
+    def whole(both: Column) -> Column:
+        start = F.struct(F.lit(every ^ ((1 << most) - 1)).cast("long").alias("up"), F.lit((1 << most) - 1).cast("long").alias("down"), both["ahead"].alias("score"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(both["x"]) - 1), start, lambda s, i: F.when(s["score"] > most, s).otherwise(row(both, s, i)), lambda s: s["score"])
+
+    ahead = F.char_length(b) - F.char_length(a)
+    # A lambda's argument is computed once; a column within a lambda would be for every element.
+    both = F.struct(chars(a).alias("x"), F.concat(edge, chars(b), edge).alias("y"), ahead.alias("ahead"))
+    return F.when(ahead > most, F.lit(most + 1)).when(F.char_length(a) == 0, ahead).otherwise(F.transform(F.array(both), whole)[0])
+
+
+def _common(x: Column, y: Column, side) -> Column:
+    """Characters that x and y share at a side (F.left or F.right), x being no longer: by doubling and halving."""
+    steps = F.sequence(F.ceil(F.log2(F.char_length(x) + F.lit(1))).cast("int"), F.lit(0), F.lit(-1))
+
+    def longer(n: Column, e: Column) -> Column:
+        m = n + F.pow(F.lit(2), e).cast("int")
+        return F.when((m <= F.char_length(x)) & (side(x, m) == side(y, m)), m).otherwise(n)
+
+    return F.aggregate(steps, F.lit(0), longer)
+
+
+def near(one: Column, two: Column, rule: Rule) -> Column:
+    """Whether two lines are within the threshold of the shorter one.
+
+    First the shorter line is cut into pieces: each that the other doesn't have, wherever, holds an edit of its own. Then what both
+    begin and end with is taken off, which leaves the distance as it is, and the rest goes through the bit-parallel band.
+    """
+
+    def bound(p: Column) -> Column:
+        a, b, most = p["a"], p["b"], p["most"]
+        size = F.greatest(F.lit(PIECE_CHARS), F.floor(F.char_length(a) / ((most + 1) * FINER)).cast("int"))
+        missing = F.aggregate(
+            F.sequence(F.lit(0), F.floor(F.char_length(a) / size).cast("int") - 1, F.lit(1)), F.lit(0),
+            lambda n, q: F.when(n > most, n).otherwise(n + F.when(F.call_function("instr", b, F.substring(a, q * size + 1, size)) == 0, 1).otherwise(0)),
+        )
+        return (F.char_length(a) < size) | (missing <= most)
+
+    def trimmed(p: Column) -> Column:
+        return F.transform(F.array(_common(p["a"], p["b"], F.left)), lambda n: F.struct(F.substring(p["a"], n + 1, F.char_length(p["a"])).alias("a"), F.substring(p["b"], n + 1, F.char_length(p["b"])).alias("b")))[0]
+
+    def ends(p: Column) -> Column:
+        return F.transform(F.array(_common(p["a"], p["b"], F.right)), lambda n: F.struct(F.left(p["a"], F.char_length(p["a"]) - n).alias("a"), F.left(p["b"], F.char_length(p["b"]) - n).alias("b")))[0]
+
+    def distance(p: Column) -> Column:
+        return F.transform(F.transform(F.transform(F.array(p), trimmed), ends), lambda r: bit_parallel_distance(r["a"], r["b"], rule.most))[0]
+
+    swap = F.char_length(one) > F.char_length(two)
+    shorter, longer = F.when(swap, two).otherwise(one), F.when(swap, one).otherwise(two)
+    pair = F.struct(shorter.alias("a"), longer.alias("b"), rule.allowed(F.least(F.char_length(one), F.char_length(two))).alias("most"))
+    ahead = lambda p: F.char_length(p["b"]) - F.char_length(p["a"])
+    return F.transform(F.array(pair), lambda p: F.when(ahead(p) > p["most"], False).when(~bound(p), False).otherwise(distance(p) <= p["most"]))[0]
+
+
+def corpus_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """The lines that take part: doc_id, th, pos, line (without outer white space), length, h."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
     rows = rows.select("doc_id", "th", "pos", F.btrim("raw", F.lit(_BLANK)).alias("line")).withColumn("length", F.char_length("line"))
-    return rows.filter(F.col("length") >= min_chars).withColumn("h", F.xxhash64("line", "length"))
-
-
-def near_lines(lines: DataFrame, edits: int | None) -> DataFrame:
-    """Pairs (a < b) of hashes of different lines within edits of each other; None: as allowed for their lengths."""
-    looked_up = entries(lines, edits)
-    met = looked_up.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key")
-    met = written(joined_small(looked_up, written(met, "met-keys"), ["key"], "left_semi", KEYS).distinct(), "met")
-    x = met.filter("own").select("key", F.col("h").alias("x"))
-    y = met.select(F.col("key").alias("_key"), F.col("h").alias("y"), F.col("own").alias("both"))
-    pairs = x.join(y, F.col("key") == F.col("_key")).filter("x <> y AND (NOT both OR x < y)")
-    pairs = written(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-    hashes = written(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "pair-lines")
+    return rows.filter(F.col("length") >= max(1, min_chars)).withColumn("h", F.xxhash64("line", "length"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, rule: Rule, name: str) -> DataFrame:
+    """pairs (h, before) of different lines -> the h that are within the threshold of before."""
+    # Pairs are few bytes and much work: they are dealt out evenly.
+    pairs = written(pairs.distinct(), f"{name}-pairs").repartition(shuffle_partitions(pairs.sparkSession), "h", "before")
+    both = joined_spread(pairs, texts.select(F.col("h").alias("_h"), F.col("line").alias("one")), "h", "_h", "before")
+    both = joined_spread(both, texts.select(F.col("h").alias("_b"), F.col("line").alias("two")), "before", "_b", "h")
+    return written(both.filter(near(F.col("one"), F.col("two"), rule)).select("h").distinct(), f"{name}-near")
+
+
+def settle(met: DataFrame, order: DataFrame, texts: DataFrame, settled: DataFrame | None, rule: Rule, large: int | None, name: str) -> tuple[list[DataFrame], DataFrame]:
+    """met (key, h, own): lines under the keys that they share -> the tables of lines found near an earlier one; keys left open.
+
+    First a bucket's members are held against its first line; then, in buckets of at most large lines (None: in all), what
+    is still open against the earlier members besides.
+    """
+    placed = written(joined_spread(met.groupBy("key", "h").agg(F.max("own").alias("own")), order, "h", "_h", "key"), f"{name}-placed")
+    heads = placed.groupBy("key").agg(F.min(F.struct("first", "h")).alias("head"), F.count(F.lit(1)).alias("n"), F.max("own").alias("any")).filter("n > 1 AND any")
+    heads = written(heads.select(F.col("key").alias("_key"), F.col("head.h").alias("head"), "n"), f"{name}-heads")
+    members = joined_spread(placed, heads, "key", "_key", "h")
+    if settled is not None:
+        members = joined_small(members, settled.withColumn("_done", F.lit(True)), ["h"], "left", KEYS)
+        members = members.withColumn("open", F.col("_done").isNull()).drop("_done")
+    else:
+        members = members.withColumn("open", F.lit(True))
+    members = written(members, f"{name}-members")
+    stars = verified(members.filter("open AND h <> head").select("h", F.col("head").alias("before")), texts, rule, f"{name}-stars")
+    members = joined_small(members, stars.withColumn("_near", F.lit(True)), ["h"], "left", KEYS)
+    members = members.withColumn("open", F.col("open") & F.col("_near").isNull() & (F.col("h") != F.col("head")))
+    left = members.filter("n > 2").select("key", "h", "own", "first", "open", "head", "n")
+    small = left if large is None else left.filter(F.col("n") <= large)
+    before = small.filter("h <> head").select(F.col("key").alias("_key"), F.col("h").alias("before"), F.col("own").alias("_own"), F.col("first").alias("_first"))
+    rest = joined_spread(small.filter("open"), before, "key", "_key", "h").filter("_first < first AND (own OR _own)").select("h", "before")
+    others = verified(rest, texts, rule, f"{name}-rest")
+    open_keys = left.filter(F.col("n") > (large or 0)).groupBy("key").agg(F.max("open").alias("open")).filter("open").select("key")
+    return [stars, others], open_keys
+
+
+def near_lines(lines: DataFrame, firsts: DataFrame, rule: Rule) -> DataFrame:
+    """(h) of the lines within the threshold of a different line that stands before their own first place."""
+    looked_up = entries(lines, rule)
+    met_keys = looked_up.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("any")).filter("lo <> hi AND any").select("key")
+    met = written(joined_small(looked_up, written(met_keys, "met-keys"), ["key"], "left_semi", KEYS).distinct(), "met")
+    hashes = written(met.select("h").distinct(), "met-lines")
     texts = written(joined_small(lines.select("h", "line"), hashes, ["h"], "left_semi", KEYS).groupBy("h").agg(F.min("line").alias("line")), "texts")
-    both = pairs.join(texts.select(F.col("h").alias("_a"), F.col("line").alias("la")), F.col("a") == F.col("_a"))
-    both = both.join(texts.select(F.col("h").alias("_b"), F.col("line").alias("lb")), F.col("b") == F.col("_b"))
-    both = both.withColumn("most", allowed(F.least(F.char_length("la"), F.char_length("lb")), edits))
-    return both.filter("levenshtein(la, lb, most) >= 0").select("a", "b")
+    order = written(joined_small(firsts.select("h", "first"), hashes, ["h"], "left_semi", KEYS).select(F.col("h").alias("_h"), "first"), "order")
+    found, open_keys = settle(met, order, texts, None, rule, LARGE_BUCKET, "coarse")
+    settled = written(found[0].union(found[1]).distinct(), "settled")
+    open_keys = written(open_keys, "open-keys")
+    if open_keys.isEmpty():
+        return settled
+
+    # What is open in large buckets meets again under rare pieces.
+    crowd = written(joined_small(met, open_keys, ["key"], "left_semi", KEYS).select("h").distinct(), "crowd")
+    crowd = written(joined_small(texts, crowd, ["h"], "left_semi", KEYS).withColumn("length", F.char_length("line")), "crowd-texts")
+    own = fine_pieces(crowd, rule, False)
+    counts = written(own.groupBy("key").agg(F.count(F.lit(1)).alias("times")), "piece-counts")
+    own = joined_spread(own, counts.withColumnRenamed("key", "_key"), "key", "_key", "h")
+    # A line has (edits + 1) * FINER pieces at most.
+    own = own.groupBy("h", "edits").agg(F.array_sort(F.collect_list(F.struct("times", "q", "key"))).alias("pieces"))
+    own = own.select("h", F.explode(F.slice("pieces", F.lit(1), F.col("edits") + 1)).alias("p")).select(F.col("p.key").alias("key"), "h", F.lit(True).alias("own"))
+    own = written(own, "rare")
+    rare = written(own.select("key").distinct(), "rare-keys")
+    asked = joined_small(fine_pieces(crowd, rule, True).select("key", "h", F.lit(False).alias("own")), rare, ["key"], "left_semi", KEYS)
+    again, _ = settle(written(own.union(asked).distinct(), "crowd-met"), order, texts, settled, rule, None, "fine")
+    return settled.union(again[0]).union(again[1]).distinct()
 
 
-def dedup_lines(docs: DataFrame, edits: int | None = None, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int | None = None, min_chars: int = 1, near_chars: int = NEAR_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
     """documents -> doc_id, text, n_lines, n_repeated, n_near, n_left and the columns named in keep, one row a document.
 
-    Lines of at least min_chars characters, without outer white space, are compared. A line goes (n_repeated) if it
-    equals one before it in the corpus, or else (n_near) if a line within edits of it (None: as many as allowed for
-    the lengths) stands before the first of its own kind. Documents are in order of doc_id, then of a hash of the text; n_left counts the lines left that aren't blank.
+    Lines of at least min_chars characters, without outer white space, are compared; blank ones are left alone. A line
+    goes (n_repeated) if it equals one before it in the corpus, or else (n_near) if a line within the threshold stands
+    before the first of its own kind. Lines of fewer than near_chars characters, and with edits given those of no more characters
+    than edits, only go if they equal another. edits: one threshold for all; None: as many as allowed for the lengths.
+    Documents are in order of doc_id, then of a hash of the text; n_left counts the lines left that aren't blank.
     Lines count as equal if a 64-bit hash and their lengths are.
-    Nulls: a null text stays null, without lines; null doc_ids come last. Rows alike in doc_id and text count as one
-    document: none of them loses lines to another. An empty table gives none. Columns not in keep are not read.
+    Nulls: a null text stays null, without lines; null doc_ids come last. Ties: rows alike in doc_id and text count as one
+    document, and none of them loses lines to another. Very long texts and lines are compared whole; a line must fit in a
+    task's memory some ten times. An empty table gives none. Columns not in keep are not read.
     """
-    lines = corpus_lines(docs, min_chars)
+    lines, rule = corpus_lines(docs, min_chars), Rule(edits, near_chars)
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th", "pos")
-    firsts = written(lines.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")), "firsts")
-    near = written(near_lines(lines, edits), "near")
-    order = firsts.select(F.col("h").alias("_h"), "first")
-    later = near.join(order.withColumnsRenamed({"_h": "_a", "first": "fa"}), F.col("a") == F.col("_a")).join(order.withColumnsRenamed({"_h": "_b", "first": "fb"}), F.col("b") == F.col("_b"))
-    later = written(later.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("h")).distinct(), "later")
+    firsts = written(lines.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n")), "firsts")
+    if rule.most:
+        later = written(near_lines(lines, firsts, rule), "later")
+        firsts = joined_small(firsts, later.withColumn("near", F.lit(True)), ["h"], "left", KEYS)
+    else:
+        firsts = firsts.withColumn("near", F.lit(False))
     # Only lines of two places or more, or near an earlier one, lose anything.
-    firsts = joined_small(firsts, later.withColumn("near", F.lit(True)), ["h"], "left", KEYS)
-    some = written(firsts.filter("first <> last OR near").select(F.col("h").alias("_h"), "first", F.coalesce("near", F.lit(False)).alias("near")), "some")
-    gone = lines.select("doc_id", "th", "pos", "h", place.alias("place")).join(some, F.col("h") == F.col("_h"))
-    gone = gone.withColumn("again", F.col("place") != F.col("first")).filter("again OR near")
+    some = written(firsts.filter("first <> last OR near").select(F.col("h").alias("_h"), "first", F.coalesce("near", F.lit(False)).alias("near"), "n"), "some")
+    slim = lines.select("doc_id", "th", "pos", "h", place.alias("place"))
+    gone = joined_spread(slim, some, "h", "_h", "place", counted="n").withColumn("again", F.col("place") != F.col("first")).filter("again OR near")
     # A document's own lines only are gathered here.
     gone = gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "again")).alias("gone"))
     gone = gone.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "gone")
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(text).alias("th"), *keep)
     out = own.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
-    out = out.withColumn("_lost", F.map_from_entries(F.coalesce("gone", F.array().cast("array<struct<pos:int,again:boolean>>"))))
     all_lines = F.split("text", "\n")
-    kept = F.filter(all_lines, lambda x, i: ~F.map_contains_key(F.col("_lost"), i))
-    out = out.withColumn("_kept", kept)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.transform("gone", lambda g: g["pos"]))
+    out = out.withColumn("_lines", all_lines)
+    out = out.withColumn("_kept", F.when(F.col("gone").isNull(), F.col("_lines")).otherwise(F.transform(kept, lambda i: F.get("_lines", i))))
     size = F.coalesce(F.cardinality("gone"), F.lit(0))
     again = F.coalesce(F.cardinality(F.filter("gone", lambda g: g["again"])), F.lit(0))
     return out.select(
         "doc_id", F.when(size > 0, F.array_join("_kept", "\n")).otherwise(F.col("text")).alias("text"),
-        F.coalesce(F.when(F.col("text").isNotNull(), F.cardinality(all_lines)), F.lit(0)).cast("long").alias("n_lines"), again.cast("long").alias("n_repeated"), (size - again).cast("long").alias("n_near"),
+        F.coalesce(F.when(F.col("text").isNotNull(), F.cardinality("_lines")), F.lit(0)).cast("long").alias("n_lines"), again.cast("long").alias("n_repeated"), (size - again).cast("long").alias("n_near"),
         F.coalesce(F.when(F.col("text").isNotNull(), F.cardinality(F.filter("_kept", lambda x: F.btrim(x, F.lit(_BLANK)) != ""))), F.lit(0)).cast("long").alias("n_left"), *keep,
     )
 

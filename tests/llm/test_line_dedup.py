@@ -1,41 +1,53 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from sievewright.llm.line_dedup import dedup_lines, op8_line_dedup
+from sievewright.llm import common, line_dedup
+from sievewright.llm.line_dedup import bit_parallel_distance, dedup_lines, op8_line_dedup
 
 BLANK = " \t\n\x0b\x0c\r"
 
 
 def within(a, b, edits):
-    row = list(range(len(b) + 1))
+    """Only the cells that can be within edits are filled."""
+    row = {j: j for j in range(min(edits, len(b)) + 1)}
     for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y)))
+        now = {}
+        for j in range(max(0, i - edits), min(len(b), i + edits) + 1):
+            now[j] = i if not j else min(row.get(j, edits) + 1, now.get(j - 1, edits) + 1, row.get(j - 1, edits + 1) + (x != b[j - 1]))
+        if min(now.values(), default=edits + 1) > edits:
+            return False
         row = now
-    return row[-1] <= edits
+    return row.get(len(b), edits + 1) <= edits
 
 
-def brute(rows, edits=1, least=30):
+def threshold(length, edits, near):
+    if length < near or (edits is not None and length <= edits):
+        return 0
+    return max(1, min(5, length // 20)) if edits is None else edits
+
+
+def brute(rows, edits=None, near=30):
     """rows of different documents, in order."""
     seen, out = [], []
     for doc_id, text in rows:
-        kept, repeated, near = [], 0, 0
+        kept, repeated, close_count = [], 0, 0
         for line in (text or "").split("\n"):
             x = line.strip(BLANK)
-            if len(x) < least:
+            if not x:
                 kept.append(line)
             elif x in seen:
                 repeated += 1
             else:
-                close = any(abs(len(x) - len(y)) <= edits and within(x, y, edits) for y in seen)
+                most = {y: threshold(min(len(x), len(y)), edits, near) for y in seen}
+                close = any(abs(len(x) - len(y)) <= n and within(x, y, n) for y, n in most.items() if n)
                 seen.append(x)
-                near += close
+                close_count += close
                 if not close:
                     kept.append(line)
         left = sum(bool(k.strip(BLANK)) for k in kept)
-        out.append((doc_id, None if text is None else "\n".join(kept), 0 if text is None else text.count("\n") + 1, repeated, near, 0 if text is None else left))
+        out.append((doc_id, None if text is None else "\n".join(kept), 0 if text is None else text.count("\n") + 1, repeated, close_count, 0 if text is None else left))
     return sorted(out, key=str)
 
 
@@ -59,13 +71,67 @@ def edited(n, most, length, seed):
     return rows
 
 
-@pytest.mark.parametrize(("edits", "length"), [(1, 40), (2, 33), (3, 36), (0, 40)])
+@pytest.mark.parametrize(("edits", "length"), [(1, 40), (2, 33), (3, 36), (0, 40), (None, 57), (None, 100)])
 def test_against_brute_force(make_docs, edits, length):
-    rows = edited(30, edits + 2, length, edits)
+    rows = edited(30, (5 if edits is None else edits) + 2, length, length)
     expected = brute(rows, edits)
     assert got(dedup_lines(make_docs(rows), edits)) == expected and (edits == 0 or any(r[4] for r in expected))
 
 
+@pytest.mark.parametrize("edits", [0, 1, 2, 3])
+def test_short_lines(make_docs, edits):
+    rng = random.Random(edits)
+    rows = []
+    for i in range(60):
+        rows.append((i, "\n".join("".join(rng.choice("abé") for _ in range(rng.randrange(1, 41) if j else rng.randrange(1, 9))) for j in range(4))))
+    rows += [(100 + i, "\n".join(x[:-2] + "bc" + x[-1:] if len(x) > 4 else x for x in t.split("\n"))) for i, t in rows[:30]]
+    expected = brute(rows, edits, 1)
+    assert got(dedup_lines(make_docs(rows), edits, near_chars=1)) == expected
+
+
+def test_large_groups(make_docs, monkeypatch):
+    """A template of which each line changes some words, far from each other; chains of small edits; one common start."""
+    rng = random.Random(4)
+    word = lambda n=6: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    template = [word() for _ in range(40)]
+    lines = []
+    for _ in range(120):
+        words = template[:]
+        for _ in range(rng.randrange(1, 5)):
+            words[rng.randrange(40)] = word(rng.randrange(5, 8))
+        lines.append(" ".join(words))
+        if rng.random() < 0.4:
+            k = rng.randrange(len(lines[-1]))
+            lines.append(rng.choice(lines)[:k] + word(rng.randrange(1, 4)) + lines[-1][k + rng.randrange(3) :])
+            lines.append(lines[-2][:k] + "z" + lines[-2][k + 1 :])
+    lines += ["the same beginning of every line, then " + " ".join(word() for _ in range(12)) for _ in range(40)]
+    lines += [x[:60] + "q" + x[62:] for x in lines[-10:]]
+    rng.shuffle(lines)
+    rows = [(i, "\n".join(lines[i * 3 : i * 3 + 3])) for i in range(-(-len(lines) // 3))]
+    expected = brute(rows)
+    assert sum(r[4] for r in expected) > 30
+    monkeypatch.setattr(line_dedup, "LARGE_BUCKET", 4)
+    assert got(dedup_lines(make_docs(rows))) == expected
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    assert got(dedup_lines(make_docs(rows))) == expected
+
+
+@pytest.mark.parametrize("most", [1, 2, 5, 9])
+def test_bit_parallel_distance(spark, most):
+    rng = random.Random(most)
+    rows = []
+    for _ in range(400):
+        a = [rng.choice("ab😀é") for _ in range(rng.randrange(30))]
+        b = a[:]
+        for _ in range(rng.randrange(most + 3)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = rng.choice(["", "a", "é", "😀"])
+        rows.append(tuple(sorted(("".join(a), "".join(b)), key=len)))
+    out = spark.createDataFrame(rows, "a string, b string").select("a", "b", bit_parallel_distance(F.col("a"), F.col("b"), most).alias("n")).collect()
+    assert all((r["n"] <= most) == within(r["a"], r["b"], most) and (r["n"] == 0 or r["n"] > most or not within(r["a"], r["b"], r["n"] - 1)) for r in out)
+
+
 def test_every_edit_is_found(make_docs):
     line = "0123456789abcdefghijklmnopqrstuvwxyz+-"
     rows = [(0, line)] + [(1 + i, line[:i] + line[i + 1 :]) for i in range(len(line))] + [(100 + i, line[:i] + "é" + line[i:]) for i in range(len(line) + 1)] + [(200 + i, line[:i] + "é" + line[i + 1 :]) for i in range(len(line))]
@@ -96,7 +162,7 @@ def test_whole_table(spark, sf_dir):
         lines = [x.strip(BLANK) for x in text.split("\n")]
         again = 0
         for x in lines:
-            if len(x) >= 30:
+            if x:
                 again += x in seen
                 seen.add(x)
         expected[doc_id] = again
