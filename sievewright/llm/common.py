@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..sources.storage import scratch_path, shared_dir, written
+from ..sources.storage import discard, scratch_path, shared_dir, written
 
-__all__ = ["joined_small", "joined_spread", "map_batches", "ranked", "scratch_path", "shared_dir", "shuffle_partitions", "small_batches", "text_bytes", "written"]
+__all__ = ["discard", "joined_small", "joined_spread", "map_batches", "ranked", "scratch_path", "shared_dir", "shuffle_partitions", "small_batches", "text_bytes", "written"]
 
 #: Rows of one Arrow batch; keeps a Python worker's memory small when texts are long.
 BATCH_ROWS = 512

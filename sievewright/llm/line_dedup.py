@@ -29,6 +29,8 @@ NEAR_CHARS = 30
 #: the shorter line, at least 1 and at most MAX_EDITS. A band of lengths is as wide.
 CHARS_AN_EDIT = 20
 MAX_EDITS = 5
+#: From this length on bands are wider than CHARS_AN_EDIT.
+WIDE_FROM = 128
 #: Most edits that can be asked for; more would reach beyond the next band.
 MOST_EDITS = CHARS_AN_EDIT - 1
 #: Buckets of more lines are split by finer pieces, about so many for each segment and of so many characters at least.
@@ -51,25 +53,30 @@ class Rule:
 
     def of_band(self, band: Column) -> Column:
         """The threshold of the lines of a band."""
-        return F.lit(self.edits) if self.edits is not None else F.greatest(F.lit(1), F.least(F.lit(MAX_EDITS), band)).cast("int")
+        if self.edits is not None:
+            return F.lit(self.edits)
+        return F.greatest(F.lit(1), F.least(F.lit(MAX_EDITS), F.floor(band / CHARS_AN_EDIT))).cast("int")
 
     def allowed(self, length: Column) -> Column:
         """The threshold of a pair whose shorter line has this length."""
-        return F.when(length >= self.least, self.of_band(self.band(length))).otherwise(F.lit(0))
+        return F.when(length >= self.least, self.of_band(length)).otherwise(F.lit(0))
 
     @staticmethod
     def band(length: Column) -> Column:
-        return F.floor(length / CHARS_AN_EDIT).cast("int")
+        """The least length of the band that a length is in: bands are a fourth of a power of two wide, and CHARS_AN_EDIT at least."""
+        wide = F.char_length(F.bin(length)) - F.lit(3)
+        even = (F.floor(length / CHARS_AN_EDIT) * CHARS_AN_EDIT).cast("int")
+        return F.when(length < WIDE_FROM, even).otherwise(F.call_function("shiftleft", F.call_function("shiftright", length, wide), wide))
 
     def shortest(self, band: Column) -> Column:
-        """The length of the shortest line of a band."""
-        return F.greatest(band * CHARS_AN_EDIT, F.lit(self.least))
+        """The length of the shortest line of a band that takes part."""
+        return F.greatest(band, F.lit(self.least))
 
     def targets(self, length: Column) -> Column:
         """The bands in which shorter partners, or equally long ones, can be: the line's own, and at times the one below."""
         own = self.band(length)
-        below = own - 1
-        reach = (length - (own * CHARS_AN_EDIT - 1) <= self.of_band(below)) & (own * CHARS_AN_EDIT > self.least)
+        below = self.band(own - 1)
+        reach = (own > self.least) & (length - (own - 1) <= self.of_band(below))
         return F.when(reach, F.array(own, below)).otherwise(F.array(own))
 
 
@@ -83,27 +90,32 @@ def _probes(edits: int) -> list[tuple[int, int, int]]:
     return [(side, i, shift) for side, n in ((0, first), (1, edits + 1 - first)) for i in range(n) for shift in range(-i, i + 1)]
 
 
-def _piece(line: Column, length: Column, side: Column, i: Column, size: Column, shift: Column) -> Column:
+def _wide(line: Column) -> Column:
+    """Four bytes a character: any substring is cut out of it without counting characters."""
+    return F.encode(line, "UTF-32")
+
+
+def _piece(wide: Column, length: Column, side: Column, i: Column, size: Column, shift: Column) -> Column:
     """The i-th piece of a side, shifted."""
     start = F.when(side == 0, i * size).otherwise(length - (i + 1) * size) + shift
-    return F.substring(line, (F.greatest(start, F.lit(0)) + 1).cast("int"), size.cast("int"))
+    return F.substring(wide, (F.greatest(start, F.lit(0)) * 4 + 1).cast("int"), (size * 4).cast("int"))
 
 
 def entries(lines: DataFrame, rule: Rule) -> DataFrame:
     """lines (line, length, h) -> key, h, own: what each line is filed under (own) and looks up."""
-    at = lines.filter(F.col("length") >= rule.least).withColumn("band", F.explode(rule.targets(F.col("length"))))
+    at = lines.filter(F.col("length") >= rule.least).select("h", "length", _wide(F.col("line")).alias("wide"), F.explode(rule.targets(F.col("length"))).alias("band"))
     specs = [_constant(_probes(k), ("side", "i", "shift")) for k in ([rule.most] if rule.edits is not None else range(1, MAX_EDITS + 1))]
     edits = rule.of_band(F.col("band"))
     mine = specs[0] if len(specs) == 1 else F.element_at(F.array(*specs), edits)
     at = at.withColumn("size", F.floor(rule.shortest(F.col("band")) / (edits + 1)).cast("int")).withColumn("p", F.explode(mine))
-    text = _piece(F.col("line"), F.col("length"), F.col("p.side"), F.col("p.i"), F.col("size"), F.col("p.shift"))
+    text = _piece(F.col("wide"), F.col("length"), F.col("p.side"), F.col("p.i"), F.col("size"), F.col("p.shift"))
     own = (F.col("p.shift") == 0) & (F.col("band") == rule.band(F.col("length")))
     return at.select(F.xxhash64("band", "p.side", "p.i", text).alias("key"), "h", own.alias("own"))
 
 
 def fine_pieces(lines: DataFrame, rule: Rule, shifts: bool) -> DataFrame:
     """lines (h, line, length) -> h, key, band, side, i: finer pieces of each line's own band, or, with shifts, all that it looks up."""
-    at = lines.withColumn("band", F.explode(rule.targets(F.col("length"))) if shifts else rule.band(F.col("length")))
+    at = lines.withColumn("wide", _wide(F.col("line"))).withColumn("band", F.explode(rule.targets(F.col("length"))) if shifts else rule.band(F.col("length")))
     edits, shortest = rule.of_band(F.col("band")), rule.shortest(F.col("band"))
     n = F.greatest(edits + 1, F.least((edits + 1) * FINER, F.floor(shortest / PIECE_CHARS)))
     at = at.withColumn("edits", edits.cast("int")).withColumn("n", n.cast("int")).withColumn("size", F.floor(shortest / n).cast("int"))
@@ -112,7 +124,7 @@ def fine_pieces(lines: DataFrame, rule: Rule, shifts: bool) -> DataFrame:
     at = at.withColumn("side", F.when(F.col("q") < first, 0).otherwise(1)).withColumn("i", F.when(F.col("q") < first, F.col("q")).otherwise(F.col("n") - 1 - F.col("q")))
     most = F.least("i", "edits")
     at = at.withColumn("shift", F.explode(F.sequence(-most, most)) if shifts else F.lit(0))
-    text = _piece(F.col("line"), F.col("length"), F.col("side"), F.col("i"), F.col("size"), F.col("shift"))
+    text = _piece(F.col("wide"), F.col("length"), F.col("side"), F.col("i"), F.col("size"), F.col("shift"))
     return at.select("h", F.xxhash64("band", "side", "i", F.lit("fine"), text).alias("key"), "edits", "q")
 
 
@@ -305,6 +317,9 @@ def dedup_lines(docs: DataFrame, edits: int | None = None, min_chars: int = 1, n
     gone = gone.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "gone")
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(text).alias("th"), *keep)
+    gone = written(gone, "gone")
+    if (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= KEYS:
+        gone = F.broadcast(gone)
     out = own.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
     all_lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.transform("gone", lambda g: g["pos"]))

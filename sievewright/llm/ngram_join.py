@@ -6,7 +6,10 @@ order of set size and cut into size bands. Within a tile, hashed bitmap signatur
 two sets from above by their bit counts; what is left is verified by intersecting the sorted arrays.
 
 First every document of a band is held against the band's first one only, so that a large group of near copies costs
-one comparison each. Then, in tiles that still hold more than one component, all pairs of different components are.
+one comparison each. Then, in tiles that still hold more than one component, every document is held against the hub, the one
+that most such tiles hold: copies edited in places of their own have rare shingles that nobody shares, their common origin
+has none. This goes on while it links anything. In what tiles are left, pairs of different components are compared,
+each pair in the tile of its first common shingle only.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_small, map_batches, shuffle_partitions, text_bytes, written
+from .common import discard, joined_small, map_batches, shuffle_partitions, text_bytes, written
 
 #: Cells of the sketch that tells common shingles from rare ones. A task reports the cells that stand out from its
 #: mean by so many standard deviations and shingles more; all others count as rare.
@@ -36,6 +39,9 @@ SIGNATURE_BITS = 1024
 #: Sets of over twice as many shingles have a wide signature too, of up to so many bits.
 WIDE_BITS = 1 << 14
 
+#: Rounds in which tiles are held against their hubs, at most; what they leave is compared all the same.
+HUB_ROUNDS = 3
+
 #: Members of a group that are verified by one task at a time.
 PART = 64
 
@@ -241,11 +247,23 @@ def _screen(percent: int):
     return run
 
 
+def first_common(x: np.ndarray, y: np.ndarray) -> int | None:
+    """The least value of two sorted arrays of different values."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    at = np.flatnonzero(both[1:] == both[:-1])
+    return int(both[at[0]]) if len(at) else None
+
+
 def _compare(percent: int):
-    """(token, n, key, comp, sig) in order -> pairs of different components that the signatures allow."""
+    """(token, n, key, comp, sig, prefix) in order -> pairs of different components that the signatures allow.
+
+    prefix has the mixed tiles that a set is in, in order: a pair comes from the first that both are in.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, n, key, comp, sig in _tiles(batches):
+        for token, n, key, comp, sig, prefix in _tiles(batches):
+            own = [np.frombuffer(x, dtype=np.int64) for x in prefix]
             bits = np.frombuffer(b"".join(sig), dtype=np.uint64).reshape(len(sig), SIGNATURE_BITS // 64)
             i, step = np.arange(len(token)), 1
             while True:
@@ -257,6 +275,7 @@ def _compare(percent: int):
                 x = i[comp[i] != comp[i + step]]
                 for x in np.array_split(x, -(-len(x) // 65536) or 1):
                     ok = x[allowed(bits[x], bits[x + step], n[x], n[x + step], percent)]
+                    ok = ok[[first_common(own[j], own[j + step]) == token[j] for j in ok.tolist()]] if len(ok) else ok
                     if len(ok):
                         a, b = key[ok], key[ok + step]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -265,6 +284,13 @@ def _compare(percent: int):
     return run
 
 
+def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrays of longs as bytes."""
+    for batch in batches:
+        prefix = [np.asarray(x.values.to_numpy()).tobytes() for x in batch.column("prefix")]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(prefix, pa.binary())], names=["key", "prefix"])
+
+
 def _gather(size: int):
     """(text, roles) -> a row for each group that the text's set has a role in, with the set as a sorted array."""
 
@@ -388,16 +414,44 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
         gathered = gathered.repartition(parts, "group", "part").sortWithinPartitions("group", "part", F.desc("leads"))
         return written(map_batches(gathered, _verify(percent), "a long, b long"), f"{name}-links")
 
+    def mixed_tiles(labels: DataFrame, rows: DataFrame) -> DataFrame:
+        """The rows (token, n, key) of tiles that hold several components, with comp, written."""
+        placed = joined_small(rows.select("token", "n", "key"), labels, ["key"]).select("token", "n", "key", F.coalesce("label", "key").alias("comp"))
+        mixed = placed.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select(F.col("token").alias("_t"))
+        return written(placed.join(mixed, F.col("token") == F.col("_t"), "left_semi"), "mixed")
+
     stars = tiles.filter("leader <> key").select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b"))
     links = verified(screened(stars, "stars"), "stars")
     labels = components(links)
-
-    placed = joined_small(tiles.drop("leader"), labels, ["key"]).select("token", "n", "key", F.coalesce("label", "key").alias("comp"))
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select(F.col("token").alias("_t"))
-    placed = written(placed.join(mixed, F.col("token") == F.col("_t"), "left_semi"), "mixed")
-    placed = placed.join(side("a"), F.col("key") == F.col("a_key")).select("token", "n", "key", "comp", F.col("a_sig").alias("sig"))
-    placed = placed.repartition(parts, "token").sortWithinPartitions("token", "n", "key")
-    more = verified(screened(map_batches(placed, _compare(percent), "a long, b long"), "rest"), "rest")
+    mixed = mixed_tiles(labels, tiles)
+    discard(tiles)
+    past = None
+    for _ in range(HUB_ROUNDS):
+        times = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+        times = written(times if past is None else joined_small(times, past, ["key"], "left_anti"), "tiles-of")
+        hubs = joined_small(mixed, times, ["key"], "inner").groupBy("token").agg(F.max(F.struct("times", "key", "n", "comp")).alias("hub"))
+        hubs = written(hubs, "hubs")
+        named = hubs.select(F.col("hub.key").alias("key")).distinct()
+        past = written(named if past is None else past.union(named).distinct(), "past-hubs")
+        spokes = mixed.join(hubs.select(F.col("token").alias("_t"), "hub"), F.col("token") == F.col("_t"))
+        alike = (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")) & (F.col("comp") != F.col("hub.comp"))
+        spokes = spokes.filter(alike).select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"))
+        more = verified(screened(spokes, "spokes"), "spokes")
+        if more.isEmpty():
+            break
+        links = written(links.union(more), "links")
+        labels = components(links)
+        fewer = mixed_tiles(labels, mixed)
+        discard(mixed)
+        mixed = fewer
+
+    # A set has few mixed tiles, its prefix at most.
+    prefixes = mixed.groupBy("key").agg(F.array_sort(F.collect_list("token")).alias("prefix"))
+    prefixes = written(map_batches(prefixes, _as_bytes, "key long, prefix binary"), "prefixes")
+    rows = mixed.join(side("a").join(prefixes.withColumnRenamed("key", "_k"), F.col("a_key") == F.col("_k")), F.col("key") == F.col("a_key"))
+    rows = rows.select("token", "n", "key", "comp", F.col("a_sig").alias("sig"), "prefix").repartition(parts, "token").sortWithinPartitions("token", "n", "key")
+    more = verified(screened(map_batches(rows, _compare(percent), "a long, b long"), "rest"), "rest")
+    discard(mixed, prefixes)
     if not more.isEmpty():
         labels = components(links.union(more))
 
