@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
-import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException, ArithmeticException, DateTimeException, NumberFormatException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,36 +32,50 @@ def canonical(column: Column, kind: str) -> Column:
     return column.cast("string")
 
 
-def literal_key(value: object, kind: str) -> str | None:
-    """The key that a literal has in a column of this type; None if the column can't hold a value that equals it."""
+#: Casts of a key column that a comparison may ask for and that keep different values apart. Fixed values.
+LOSSLESS = {
+    "tinyint": ("smallint", "int", "bigint", "float", "double", "decimal"), "smallint": ("int", "bigint", "float", "double", "decimal"),
+    "int": ("bigint", "double", "decimal"), "bigint": ("decimal",), "float": ("double",), "date": ("timestamp", "timestamp_ntz"),
+}
+
+
+def plain_key(value: object, kind: str) -> tuple[bool, str | None]:
+    """Whether a literal is of the column's own family, and if so its key; None if the column can't hold it."""
     if isinstance(value, bool) or kind == "boolean":
-        return str(value).lower() if isinstance(value, bool) and kind == "boolean" else None
-    if kind in _INTEGERS:
-        if isinstance(value, float) and not (math.isfinite(value) and value.is_integer()):
-            return None
-        if not isinstance(value, (int, float)):
-            return None
-        whole, bits = int(value), _INTEGERS[kind]
-        return str(whole) if -(1 << bits - 1) <= whole < 1 << bits - 1 else None
-    if kind in ("float", "double"):
-        return None  # by Spark: see literal_keys
-    if kind == "date":
-        return value.isoformat() if isinstance(value, dt.date) and not isinstance(value, dt.datetime) else None
-    return value if isinstance(value, str) else None
+        return (True, str(value).lower()) if isinstance(value, bool) and kind == "boolean" else (False, None)
+    if kind in _INTEGERS and isinstance(value, int):
+        bits = _INTEGERS[kind]
+        return True, str(value) if -(1 << bits - 1) <= value < 1 << bits - 1 else None
+    if kind == "date" and isinstance(value, dt.date) and not isinstance(value, dt.datetime):
+        return True, value.isoformat()
+    return (True, value) if kind == "string" and isinstance(value, str) else (False, None)
+
 
+def literal_keys(spark: SparkSession, values: list, kind: str) -> list[str] | None:
+    """Keys of literals that a column of this type is compared with, without repeats; nulls and what can't occur drop out.
 
-def literal_keys(df: DataFrame, values: list, kind: str) -> list[str]:
-    """Keys of literals in a column of this type, without repeats; those that can't occur and nulls drop out."""
+    None: the comparison, as Spark types it, casts the column in a way that folds values together (or isn't possible at
+    all), so only a scan gives its answer.
+    """
     values = [v for v in values if v is not None]
-    if kind in ("float", "double"):
-        numbers = [float(v) for v in values if isinstance(v, (int, float)) and not isinstance(v, bool)]
-        if not numbers:
-            return []
-        # A double that no float equals has no key in a float column.
-        wide = df.sparkSession.createDataFrame([(v,) for v in numbers], "v double").select("v", F.col("v").cast(kind).alias("k"))
-        wide = wide.filter(F.col("k").cast("double").eqNullSafe(F.col("v")) | F.isnan("v"))
-        return sorted({r[0] for r in wide.select(canonical(F.col("k"), kind)).collect()})
-    return sorted({k for v in values if (k := literal_key(v, kind)) is not None})
+    plain = [plain_key(v, kind) for v in values]
+    if all(ok for ok, _ in plain):
+        return sorted({k for _, k in plain if k is not None})
+    frame, column = spark.createDataFrame([], f"c {kind}"), F.col("c")
+    try:
+        condition = frame.filter(column == F.lit(values[0]) if len(values) == 1 else column.isin(values))._jdf.queryExecution().analyzed().condition()
+        side = {"EqualTo": lambda e: e.left(), "In": lambda e: e.value()}[condition.getClass().getSimpleName()](condition)
+        met = side.dataType().catalogString()
+        cast = side.getClass().getSimpleName() == "Cast"
+        held = side.child() if cast else side
+        if held.getClass().getSimpleName() != "AttributeReference" or (cast and met.split("(")[0] not in LOSSLESS.get(kind, ())):
+            return None
+        asked = [F.lit(v).cast(met) for v in values]
+        own = [a.try_cast(kind) for a in asked]
+        keys = [F.when(o.cast(met).eqNullSafe(a), canonical(o, kind)) for o, a in zip(own, asked)]
+        return sorted({k for k in spark.range(1).select(F.array(*keys).alias("k")).first()["k"] if k is not None})
+    except (AnalysisException, KeyError, ArithmeticException, NumberFormatException, DateTimeException):
+        return None
 
 
 def row_id(ordinal: Column, row_index: Column) -> Column:

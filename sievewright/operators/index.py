@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import json
 import threading
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.keys import ORDINAL_BIT, check_key, row_id
+from ..functions.keys import ORDINAL_BIT, check_key, plain_key, row_id
 from ..plans.parse import parse
 from ..plans.predicates import And
 from ..sources.storage import Store
@@ -151,6 +152,9 @@ class BitmapIndex:
         """Whether the files are still those that were indexed."""
         return all(self.store.fingerprint(path) == (size, changed) for _, path, size, changed in self.manifest["files"] + self.manifest["pending"])
 
+    def _condition(self, predicate: And) -> Column:
+        return predicate.condition({f.name: f.dataType.simpleString() for f in StructType.fromJson(json.loads(self.manifest["schema"]))})
+
     # Queries
 
     def where(self, text: str) -> And:
@@ -163,7 +167,7 @@ class BitmapIndex:
             raise ValueError(f"no route {route}")
         if route == "native":
             return "native", "asked for"
-        if not predicate.indexable(self.keys):
+        if not postings.answerable(self.spark, predicate, self.keys):
             return "native", "a condition can't be answered by the index"
         if not self.fresh():
             return "native", "the files have changed since they were indexed"
@@ -177,11 +181,11 @@ class BitmapIndex:
         """One row (cnt): how many rows the predicate holds for."""
         taken, why = self.route(predicate, route)
         if taken == "native":
-            df = self.table().filter(predicate.condition()).agg(F.count(F.lit(1)).alias("cnt"))
+            df = self.table().filter(self._condition(predicate)).agg(F.count(F.lit(1)).alias("cnt"))
         else:
             df = self._indexed_count(predicate)
             if self.manifest["pending"]:
-                late = self._alive(self._read(self.manifest["pending"])).filter(predicate.condition()).agg(F.count(F.lit(1)).alias("cnt"))
+                late = self._alive(self._read(self.manifest["pending"])).filter(self._condition(predicate)).agg(F.count(F.lit(1)).alias("cnt"))
                 df = df.unionByName(late).agg(F.sum("cnt").alias("cnt"))
         return Answer(taken, len(predicate.parts), why, df)
 
@@ -197,12 +201,12 @@ class BitmapIndex:
 
     def rids(self, predicate: And) -> DataFrame:
         """The ids of the rows that an indexable predicate holds for, pending ones too."""
-        if not predicate.indexable(self.keys):
+        if not postings.answerable(self.spark, predicate, self.keys):
             raise ValueError("the index can't answer this predicate")
         found = postings.lookup(self.postings(), predicate, self.keys)
         rids = bitmaps.to_rids(found) if found is not None else self.spark.createDataFrame([], "rid long")
         if self.manifest["pending"]:
-            rids = rids.unionByName(self._read(self.manifest["pending"]).filter(predicate.condition()).select("rid"))
+            rids = rids.unionByName(self._read(self.manifest["pending"]).filter(self._condition(predicate)).select("rid"))
         return self._alive(rids)
 
     def rows(self, predicate: And, columns: list[str] | None = None, route: str = "auto") -> Answer:
@@ -210,8 +214,9 @@ class BitmapIndex:
         taken, why = self.route(predicate, "native" if route == "auto" else route)
         columns = columns or list(self.table().columns)
         if taken == "native":
-            return Answer(taken, len(predicate.parts), why, self.table().filter(predicate.condition()).select(*columns))
-        pinned = {c: v for c, v in predicate.pinned().items() if c in columns}
+            return Answer(taken, len(predicate.parts), why, self.table().filter(self._condition(predicate)).select(*columns))
+        # A float's zero may have either sign, and a literal of another type isn't the value that is stored.
+        pinned = {c: v for c, v in predicate.pinned().items() if c in columns and (v is None or (self.keys[c] not in ("float", "double") and plain_key(v, self.keys[c])[0]))}
         kinds = {f.name: f.dataType for f in self.table().schema}
         read = self._read(self.manifest["files"] + self.manifest["pending"], [c for c in columns if c not in pinned])
         out = read.join(self.rids(predicate), "rid", "left_semi").withColumns({c: F.lit(v).cast(kinds[c]) for c, v in pinned.items()})
@@ -234,36 +239,46 @@ class BitmapIndex:
 
     # Changes
 
-    def append(self, rows: DataFrame) -> None:
-        """Adds rows; they are pending until a compaction, which is run at once if twice the threshold is passed."""
+    def _stored(self, rows: DataFrame) -> dict:
+        """The changes to the manifest that add rows, which are written; they count once it is committed."""
+        kept = self.table().schema
+        path = self.store.path(f"data/{self.manifest['generation'] + 1:08d}-{uuid.uuid4().hex[:8]}")
+        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kept]).write.parquet(path)
+        files, first = _files(self.spark, [path]), self.manifest["next_ordinal"]
+        added = self.spark.read.schema(kept).parquet(path).count()
+        pending = self.manifest["pending"] + [[first + i, *f] for i, f in enumerate(files)]
+        return {"pending": pending, "pending_rows": self.manifest["pending_rows"] + added, "next_ordinal": first + len(files)}
+
+    def _buried(self, predicate: And) -> dict:
+        """The changes to the manifest that take the predicate's rows away."""
+        name = f"tombstones/{self.manifest['generation'] + 1:08d}-{uuid.uuid4().hex[:8]}"
+        self.table(rid=True).filter(self._condition(predicate)).select("rid").write.parquet(self.store.path(name))
+        return {"tombstones": [*self.manifest["tombstones"], name]}
+
+    def append(self, rows: DataFrame, stream: str | None = None, batch: int = -1) -> None:
+        """Adds rows; they are pending until a compaction, which is run at once if twice the threshold is passed.
+
+        A batch of a stream is committed together with its number; one that is there already adds nothing.
+        """
         with self._lock:
-            kept = self.table().schema
-            name = f"data/{self.manifest['generation'] + 1:08d}"
-            rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kept]).write.parquet(self.store.path(name))
-            files = _files(self.spark, [self.store.path(name)])
-            first = self.manifest["next_ordinal"]
-            added = self.spark.read.parquet(self.store.path(name)).count()
-            pending = self.manifest["pending"] + [[first + i, *f] for i, f in enumerate(files)]
-            self._commit(pending=pending, pending_rows=self.manifest["pending_rows"] + added, next_ordinal=first + len(files))
+            seen = self.manifest.get("streams", {})
+            if stream is not None and batch <= seen.get(stream, -1):
+                return
+            changes = self._stored(rows) | ({"streams": seen | {stream: batch}} if stream is not None else {})
+            self._commit(**changes)
             if self.manifest["pending_rows"] >= 2 * self.manifest["threshold"]:
                 self.compact()
 
     def delete(self, predicate: And) -> None:
         """Takes rows away. They are tombstones until the next compaction."""
         with self._lock:
-            name = f"tombstones/{self.manifest['generation'] + 1:08d}"
-            self.table(rid=True).filter(predicate.condition()).select("rid").write.parquet(self.store.path(name))
-            self._commit(tombstones=[*self.manifest["tombstones"], name])
+            self._commit(**self._buried(predicate))
 
     def update(self, predicate: And, values: dict) -> None:
-        """Sets columns (name -> Column) in the rows of a predicate: these rows go, and come again changed."""
+        """Sets columns (name -> Column) in the rows of a predicate: in one generation these rows go, and come again changed."""
         with self._lock:
-            old = self.table().filter(predicate.condition())
-            name = f"updated/{self.manifest['generation'] + 1:08d}"
-            old.withColumns(values).select(*old.columns).write.parquet(self.store.path(name))
-            self.delete(predicate)
-            self.append(self.spark.read.schema(old.schema).parquet(self.store.path(name)))
-            self.store.delete(name)
+            changed = self.table().filter(self._condition(predicate)).withColumns(values)
+            self._commit(**self._stored(changed), **self._buried(predicate))
 
     def compact(self) -> None:
         """Puts pending rows into the postings; if rows were deleted, writes the table and the postings anew."""
@@ -313,11 +328,13 @@ class BitmapIndex:
     def vacuum(self) -> None:
         """Removes what no generation from the current one on reads."""
         with self._lock:
-            used = {self.manifest["postings"], *self.manifest["tombstones"]}
+            m = self.manifest
+            # Files are named with their scheme, however the root is spelt: a folder's own name tells it.
+            used = {m["postings"], *m["tombstones"], *("data/" + path.rsplit("/", 2)[-2] for _, path, *_ in m["files"] + m["pending"])}
             for name in self.store.names():
-                if name.startswith("manifest-") and name < _name(self.manifest["generation"]):
+                if name.startswith(".") or (name.startswith("manifest-") and name < _name(m["generation"])):
                     self.store.delete(name)
-            for kind in ("postings", "tombstones"):
+            for kind in ("postings", "tombstones", "data"):
                 for name in Store(self.spark, self.store.path(kind)).names():
                     if f"{kind}/{name}" not in used:
                         self.store.delete(f"{kind}/{name}")

@@ -7,7 +7,7 @@ order of column and key, so that Parquet's statistics skip what a lookup doesn't
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import bucket, canonical, literal_keys, position
@@ -62,6 +62,14 @@ def as_bitmaps(postings: DataFrame, *by: str) -> DataFrame:
     return dense.unionByName(sparse).groupBy(*by, "bucket").agg(F.bitmap_or_agg("bm").alias("bm"))
 
 
+def answerable(spark: SparkSession, predicate: And, keys: dict[str, str]) -> bool:
+    """Whether every part is over a key column, and compares it in a way that keys can answer."""
+    if not predicate.indexable(keys):
+        return False
+    literals = [(p.column, [p.value] if isinstance(p, Eq) else list(p.values)) for p in predicate.parts if isinstance(p, (Eq, In))]
+    return all(literal_keys(spark, values, keys[column]) is not None for column, values in literals)
+
+
 def conditions(postings: DataFrame, predicate: And, keys: dict[str, str]) -> list:
     """For each part of the predicate, which postings it unites; None if that is none for certain."""
     names = list(keys)
@@ -69,7 +77,9 @@ def conditions(postings: DataFrame, predicate: And, keys: dict[str, str]) -> lis
     for p in predicate.parts:
         mine = F.col("attno") == names.index(p.column) + 1
         if isinstance(p, (Eq, In)):
-            values = literal_keys(postings, [p.value] if isinstance(p, Eq) else list(p.values), keys[p.column])
+            values = literal_keys(postings.sparkSession, [p.value] if isinstance(p, Eq) else list(p.values), keys[p.column])
+            if values is None:
+                raise ValueError(f"keys of {p.column} can't answer this comparison; a scan can")
             out.append(mine & ~F.col("is_null") & F.col("key").isin(values) if values else None)
         elif isinstance(p, IsNull):
             out.append(mine & F.col("is_null"))

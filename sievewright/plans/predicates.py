@@ -8,6 +8,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _is_zero(value: object) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool) and value == 0
+
+
+def _equals(column: str, values: tuple, kind: str | None) -> Column:
+    """column = value, or IN several.
+
+    Parquet's statistics and dictionaries tell -0.0 from 0.0, so an equality with zero must not reach them: it is written as a
+    range. kind is the column's type, if known; a string compared with a float column may be a zero too.
+    """
+    c, floats = F.col(column), kind in ("float", "double")
+    if floats and any(isinstance(v, str) for v in values):
+        c = c + F.lit(0.0).cast(kind)  # makes zeros alike, and keeps the scan from pushing the condition down
+        return c == F.lit(values[0]) if len(values) == 1 else c.isin(list(values))
+    zero = [v for v in values if _is_zero(v) and (floats or (isinstance(v, float) and kind is None))]
+    others = [v for v in values if v not in zero] if zero else list(values)
+    out = (c == F.lit(others[0]) if len(others) == 1 else c.isin(others)) if others else None
+    if zero:
+        near = c.between(F.lit(-0.0), F.lit(0.0))
+        out = near if out is None else out | near
+    return out
+
+
 @dataclass(frozen=True)
 class Eq:
     """column = value; null equals nothing."""
@@ -15,8 +38,8 @@ class Eq:
     column: str
     value: object
 
-    def condition(self) -> Column:
-        return F.lit(False) if self.value is None else F.col(self.column) == F.lit(self.value)
+    def condition(self, kind: str | None = None) -> Column:
+        return F.lit(False) if self.value is None else _equals(self.column, (self.value,), kind)
 
 
 @dataclass(frozen=True)
@@ -30,15 +53,15 @@ class In:
         object.__setattr__(self, "column", column)
         object.__setattr__(self, "values", tuple(dict.fromkeys(v for v in values if v is not None)))
 
-    def condition(self) -> Column:
-        return F.col(self.column).isin(list(self.values)) if self.values else F.lit(False)
+    def condition(self, kind: str | None = None) -> Column:
+        return _equals(self.column, self.values, kind) if self.values else F.lit(False)
 
 
 @dataclass(frozen=True)
 class IsNull:
     column: str
 
-    def condition(self) -> Column:
+    def condition(self, kind: str | None = None) -> Column:
         return F.col(self.column).isNull()
 
 
@@ -46,7 +69,7 @@ class IsNull:
 class IsNotNull:
     column: str
 
-    def condition(self) -> Column:
+    def condition(self, kind: str | None = None) -> Column:
         return F.col(self.column).isNotNull()
 
 
@@ -56,7 +79,7 @@ class Residual:
 
     expression: str | Column
 
-    def condition(self) -> Column:
+    def condition(self, kind: str | None = None) -> Column:
         return F.expr(self.expression) if isinstance(self.expression, str) else self.expression
 
 
@@ -69,10 +92,11 @@ class And:
 
     parts: tuple[Condition, ...] = field(default=())
 
-    def condition(self) -> Column:
+    def condition(self, kinds: dict[str, str] | None = None) -> Column:
+        """kinds: types of columns by name, as far as they are known."""
         out = F.lit(True)
         for p in self.parts:
-            out = out & p.condition()
+            out = out & p.condition((kinds or {}).get(getattr(p, "column", "")))
         return out
 
     def indexable(self, keys: dict[str, str]) -> bool:

@@ -6,17 +6,23 @@ import json
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. On one machine, as in tests, a temporary one if that is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    return _OWN_DIR.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="sievewright-"))
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    application = spark.sparkContext.applicationId
+    if application not in _OWN_DIR:
+        _OWN_DIR[application] = tempfile.mkdtemp(prefix="sievewright-")
+    return _OWN_DIR[application]
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -38,7 +44,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() gave and that nothing reads any more."""
+    for df in tables:
+        folder, _, name = df._scratch.rpartition("/")
+        Store(df.sparkSession, folder).delete(name)
 
 
 class Store:
@@ -66,14 +81,28 @@ class Store:
     def put_json(self, name: str, value: dict) -> None:
         """The file appears whole or not at all; an existing one is an error."""
         final, part = self._path(self.path(name)), self._path(self.path(f".{name}.{uuid.uuid4().hex}"))
-        stream = self._fs.create(part, False)
+        scheme, data = self._fs.getScheme(), bytearray(json.dumps(value).encode())
+        # Each kind of store has its own way to make a whole file appear under a name that is free. A store of objects
+        # shows one when it is closed, and refuses a name that is taken if it is asked not to overwrite.
+        direct = scheme not in ("file", "hdfs")
         try:
-            stream.write(bytearray(json.dumps(value).encode()))
+            stream = self._fs.create(final if direct else part, False)
+            try:
+                stream.write(data)
+            finally:
+                stream.close()
+            if scheme == "file":
+                files = self.spark._jvm.java.nio.file
+                files.Files.createLink(*(files.Path.of(p.toUri().getPath(), self.spark._sc._gateway.new_array(self.spark._jvm.String, 0)) for p in (final, part)))
+            elif not direct and not self._fs.rename(part, final):
+                raise FileExistsError(f"{final} was written by somebody else")
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            raise FileExistsError(f"{final} was written by somebody else") from None
         finally:
-            stream.close()
-        if self._fs.exists(final) or not self._fs.rename(part, final):
-            self._fs.delete(part, False)
-            raise FileExistsError(f"{final} was written by somebody else")
+            if not direct:
+                self._fs.delete(part, False)
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(self.path(name)), True)

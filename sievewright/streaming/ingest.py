@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.index import BitmapIndex
+from ..sources.storage import Store
 
 
 def ingest(stream: DataFrame, index: BitmapIndex, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Appends the rows of a stream. A batch that comes again after a failure is told by its number and left out."""
-    done = {"last": index.manifest.get("stream_batch", -1)}
+    """Appends the rows of a stream. A batch that comes again after a failure is told by its stream and number and left out.
+
+    The stream is known by the id in its checkpoint: another stream, or a new checkpoint, counts for itself. Number and rows
+    are one commit.
+    """
+    folder = Store(index.spark, checkpoint)
 
     def add(batch: DataFrame, number: int) -> None:
-        if number <= done["last"]:
-            return
-        index.append(batch)
-        index._commit(stream_batch=number)
-        done["last"] = number
+        index.append(batch, folder.read_json("metadata")["id"], number)
         if index.manifest["pending_rows"] >= index.manifest["threshold"]:
             index.compact()
 
