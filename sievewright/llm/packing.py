@@ -24,7 +24,7 @@ SHARD_DOCS = 2048
 #: The id that ends every document.
 END = 1
 #: Terms that at least one document in so many has are summed as dense rows.
-DENSE = 8
+DENSE = 32
 #: Neighbours that one query returns; a seed whose neighbours are used up asks again for more.
 NEIGHBOURS = 16
 #: BM25's saturation and length normalisation.
@@ -73,9 +73,7 @@ class Index:
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """BM25 of every document for these terms."""
         row = self.row[terms]
-        asked = np.zeros(len(self.dense), dtype=np.float32)
-        asked[row[row >= 0]] = 1
-        total = (asked @ self.dense).astype(np.float64)
+        total = self.dense[row[row >= 0]].sum(axis=0, dtype=np.float64) if (row >= 0).any() else np.zeros(self.n)
         at = [slice(self.begin[t], self.begin[t + 1]) for t in terms[row < 0]]
         if at:
             total += np.bincount(np.concatenate([self.docs[s] for s in at]), np.concatenate([self.weights[s] for s in at]), self.n)
