@@ -18,16 +18,15 @@ from pyspark.sql import types as T
 from .common import map_batches, text_bytes
 from .pieces import vocabulary
 
-#: Longest piece used, in characters with the word mark.
-PIECE_CHARS = 10
-#: Longer words are scored in parts of so many characters, so that products stay in a double's range.
+#: Words of up to so many characters are scored many at a time, as their products stay in a double's range; longer ones one by
+#: one, with the products scaled as they shrink. The models are fitted to the parts of that length of longer words.
 WORD_CHARS = 32
 #: Probability of a character that no piece has; the same in every language.
 UNKNOWN = 1e-7
 #: Training documents of one language, on average: the bounded sample that the models are fitted to.
 SAMPLE_DOCS = 300
-#: Most languages that are learnt.
-LANGUAGES = 256
+#: Characters of a document in that sample, at most: so the sample is bounded in bytes too.
+SAMPLE_CHARS = 100_000
 ROUNDS = 3
 #: A text is unlike its language if its words are less probable than the training's by so much, in nats a character, and
 #: by SLACK nats besides, so that a few characters don't decide.
@@ -43,7 +42,7 @@ class Lattice:
     """The pieces of a vocabulary, found in many words of equal length at a time."""
 
     def __init__(self, pieces: Iterable[str]):
-        known = sorted({p for p in pieces if 0 < len(p) <= PIECE_CHARS})
+        known = sorted({p for p in pieces if p})
         self.size = len(known) + 1  # the last is the unknown character
         keys = np.array([self._key(p) for p in known], dtype=np.uint64)
         order = np.argsort(keys)
@@ -104,14 +103,40 @@ def word_parts(words: list[str]) -> tuple[list[str], np.ndarray]:
     return parts, np.array(owner, dtype=np.int64)
 
 
+def log_score(word: str, lattice: Lattice, p: np.ndarray) -> np.ndarray:
+    """Log probability of one word in every language, over all segmentations of the whole word, however long it is."""
+    codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    n = len(codes)
+    ids = np.full((lattice.longest, n + 1), -1, dtype=np.int64)  # of the piece of size + 1 characters that ends before a place
+    key = np.zeros(n, dtype=np.uint64)
+    for size in range(min(lattice.longest, n)):
+        key = (key[: n - size] ^ codes[size:]) * _BASE + np.uint64(1)
+        at = np.minimum(np.searchsorted(lattice.keys, key), len(lattice.keys) - 1)
+        found = np.where(lattice.keys[at] == key, lattice.ids[at], -1) if len(lattice.keys) else np.full(len(key), -1)
+        ids[size, size + 1 :] = np.where(found < 0, lattice.size - 1, found) if size == 0 else found
+    alpha, scale = np.zeros((lattice.longest, p.shape[1])), np.zeros(p.shape[1])  # alpha[k]: of the place k + 1 before
+    alpha[0] = 1.0
+    for end in range(1, n + 1):
+        own = ids[:, end]
+        here = (alpha * np.where((own >= 0)[:, None], p[own], 0.0)).sum(axis=0)
+        alpha[1:] = alpha[:-1]
+        alpha[0] = here
+        if end % 16 == 0 or end == n:
+            top = alpha.max(axis=0)
+            alpha, scale = alpha / top, scale + np.log(top)
+    return np.log(alpha[0]) + scale
+
+
 def log_scores(words: list[str], lattice: Lattice, p: np.ndarray) -> np.ndarray:
-    """words x languages: log probability of each word, over all segmentations of its parts."""
-    out = np.zeros((len(words), p.shape[1]))
-    parts, owner = word_parts(words)
-    scores = np.empty((len(parts), p.shape[1]))
-    for at, codes in by_length(parts):
-        scores[at] = np.log(forward(lattice.spans(codes), codes.shape[1], p)[-1])
-    np.add.at(out, owner, scores)
+    """words x languages: log probability of each marked word, over all its segmentations."""
+    marked = [MARK + w for w in words]
+    short = [i for i, w in enumerate(marked) if len(w) <= WORD_CHARS]
+    out = np.empty((len(words), p.shape[1]))
+    for at, codes in by_length([marked[i] for i in short]):
+        out[np.array(short)[at]] = np.log(forward(lattice.spans(codes), codes.shape[1], p)[-1])
+    for i, w in enumerate(marked):
+        if len(w) > WORD_CHARS:
+            out[i] = log_score(w, lattice, p)
     return out
 
 
@@ -161,18 +186,18 @@ def vocabulary_pieces(path: str) -> list[str]:
 def fit_languages(training: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The languages, their piece probabilities and usual log probability a character, from a sample of training (text, lang, doc_id).
 
-    About sample_docs documents of every language, by a hash of doc_id and text: that is what comes to the driver.
+    About sample_docs documents of every language, by a hash of doc_id and text, with SAMPLE_CHARS characters of each at
+    most: that is what comes to the driver. Every language that a training row names is learnt.
     """
     labelled = training.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(totals)
     lattice = Lattice(pieces)
     if not languages:
         return [], np.zeros((lattice.size, 0)), np.zeros(0)
-    part = F.lit(0)
-    for lang in languages:
-        part = F.when(F.col("lang") == lang, F.lit(int(min(1.0, sample_docs / totals[lang]) * 1_000_000) + 1)).otherwise(part)
-    rows = labelled.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < part).select("lang", "text").collect()
+    part = F.create_map(*[F.lit(x) for lang in languages for x in (lang, int(min(1.0, sample_docs / totals[lang]) * 1_000_000) + 1)])[F.col("lang")]
+    sample = labelled.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < part)
+    rows = sample.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
     place = {lang: k for k, lang in enumerate(languages)}
     index: dict[str, int] = {}
     pairs = np.array([(index.setdefault(w, len(index)), place[r["lang"]]) for r in rows for w in r["text"].lower().split()], dtype=np.int64).reshape(-1, 2)
@@ -230,7 +255,8 @@ def identify_languages(docs: DataFrame, training: DataFrame, keep: tuple[str, ..
     the language given the whole text, with equal priors. likely is false for und, and where the text is far less probable
     a character than the training texts of lang_pred: junk, or a language that isn't learnt.
     Nulls: a null text, and one without a letter, is und with score 0; training rows without text or language don't
-    count. With no language learnt all is und, and likely, as nothing can be told. Repeated rows are predicted each; equal texts get equal predictions. An
+    count. Ties go to the first language by code point. Very long texts and words are scored whole; a text must fit in a worker's
+    memory some ten times. With no language learnt all is und, and likely, as nothing can be told. Repeated rows are predicted each; equal texts get equal predictions. An
     empty table gives none. Columns not in keep are not read.
     """
     pieces = vocabulary_pieces(vocabulary_path or vocabulary("piece_bpe_32k.model"))

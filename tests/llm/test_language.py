@@ -12,7 +12,7 @@ PIECES = ["▁", "▁a", "a", "ab", "b", "ba", "▁ab", "c", "abc"]
 
 def brute_score(word, pieces, p):
     """The sum over all segmentations, one by one."""
-    known = sorted({x for x in pieces if len(x) <= language.PIECE_CHARS})
+    known = sorted(set(pieces))
     total = 0.0
     for cuts in itertools.product([0, 1], repeat=len(word) - 1):
         parts, start = [], 0
@@ -35,10 +35,21 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(log_scores(words, lattice, p)[:, k], [brute_score("▁" + w, PIECES, p[:, k]) for w in words])
 
 
-def test_long_words_are_scored_in_parts():
-    lattice = Lattice(PIECES)
-    p = np.full((lattice.size, 1), 0.1)
-    assert np.isfinite(log_scores(["ab" * 3000], lattice, p)).all()
+def test_long_words_are_scored_whole():
+    """Against a sum in logarithms: pieces across any border count, and products of thousands of characters keep their size."""
+    lattice, rng = Lattice([*PIECES, "abababababababab", "ba" * 9]), np.random.default_rng(1)
+    p = rng.random((lattice.size, 2)) * 0.01
+    known = {x: i for i, x in enumerate(sorted({*PIECES, "abababababababab", "ba" * 9}))}
+    for word in ("ab" * 3000, "".join(rng.choice(list("abcz日"), 500)), "ab" * 16, "ab" * 15 + "c"):
+        marked, totals = "▁" + word, [np.zeros(2)]
+        for end in range(1, len(marked) + 1):
+            ways = []
+            for begin in range(max(0, end - 18), end):
+                piece = marked[begin:end]
+                if piece in known or len(piece) == 1:
+                    ways.append(totals[begin] + np.log(p[known.get(piece, -1)]))
+            totals.append(np.logaddexp.reduce(ways))
+        assert np.allclose(log_scores([word], lattice, p)[0], totals[-1])
 
 
 def test_fit_raises_the_likelihood():
