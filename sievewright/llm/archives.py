@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, scratch_path, written
+from .common import joined_spread, map_batches, scratch_path, written
 
 #: Field names of the two header versions. Fixed values.
 FIELDS = {
@@ -95,16 +95,16 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, '|'.join(map(str, parts)))}>"
 
 
-def warc_record(kind: str, url: str, date: str, ip: str, page: object, digest: str, head: bytes, payload: bytes, refers: tuple[str, str] | None) -> bytes:
-    """A WARC record without the blank lines that end it. refers: page and digest that a revisit refers to."""
+def warc_record(kind: str, url: str, date: str, ip: str, page: object, row: int, digest: str, head: bytes, payload: bytes, refers: tuple[object, int] | None) -> bytes:
+    """A WARC record without the blank lines that end it. row: its place in the table; refers: page and row that a revisit refers to."""
     block = head + (payload if kind == "response" else b"")
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id('record', page, digest)}", f"WARC-Date: {date}", f"WARC-Target-URI: {url}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page, row, digest)}", f"WARC-Date: {date}", f"WARC-Target-URI: {url}",
         f"WARC-IP-Address: {ip}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}",
-        f"X-Payload-Length: {len(payload)}", f"X-Page: {'' if page is None else page}",
+        f"X-Page: {'' if page is None else page}",
     ]
     if refers:
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id('record', *refers)}", f"X-Refers-Page: {refers[0]}"]
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(*refers, digest)}"]
     return ("\r\n".join([*lines, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block
 
 
@@ -142,7 +142,7 @@ def _arc_record(version: int, page: int | None, url: str | None, html: bytes) ->
 
 def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for n, batch in enumerate(batches):
-        rows = batch.select(["page_id", "url", "first_id"]).to_pylist()
+        rows = batch.select(["page_id", "url", "row", "first_id", "first_row"]).to_pylist()
         version = 1 + n % 2
         pages = batch.column("html").to_pylist()
         arc = arc_file(version, "20080101000000", [_arc_record(version, r["page_id"], r["url"], h) for r, h in zip(rows, pages)])
@@ -150,21 +150,20 @@ def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, (fields, block) in zip(rows, read_arc(arc), strict=True):
             head, payload = http_parts(block)
             digest = sha1_base32(payload)
-            first = r["first_id"]
-            revisit = first is not None and first != r["page_id"]
+            revisit = r["first_row"] is not None and r["first_row"] != r["row"]
             records.append(
                 warc_record(
-                    "revisit" if revisit else "response", fields["URL"], warc_date(fields["Archive-date"]), fields["IP-address"], r["page_id"], digest, head, payload, (first, digest) if revisit else None
+                    "revisit" if revisit else "response", fields["URL"], warc_date(fields["Archive-date"]), fields["IP-address"], r["page_id"], r["row"], digest, head, payload, (r["first_id"], r["first_row"]) if revisit else None
                 ).decode("utf-8")
             )
         yield pa.RecordBatch.from_arrays([pa.array(records, pa.string())], names=["value"])
 
 
-_READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, warc_date string, record_id string"
+_READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_id string, warc_date string, record_id string"
 
 
 def _from_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string())
     names = [x.split()[0] for x in _READ_SCHEMA.split(", ")]
     for batch in batches:
         for content in batch.column("content"):
@@ -172,8 +171,13 @@ def _from_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for f, block in read_warc(gzip.decompress(content.as_buffer())):
                 if f["WARC-Block-Digest"] != f"sha1:{sha1_base32(block)}":
                     raise ValueError(f"block digest of {f['WARC-Record-ID']} is wrong")
-                page, refers = f["X-Page"], f.get("X-Refers-Page")
-                rows.append((int(page) if page else None, int(f["X-Payload-Length"]), f["WARC-Payload-Digest"].removeprefix("sha1:"), f["WARC-Type"], int(refers) if refers else None, f["WARC-Date"], f["WARC-Record-ID"]))
+                page, size, digest = f["X-Page"], None, f["WARC-Payload-Digest"].removeprefix("sha1:")
+                if f["WARC-Type"] == "response":
+                    payload = http_parts(block)[1]
+                    size = len(payload)
+                    if sha1_base32(payload) != digest:
+                        raise ValueError(f"payload digest of {f['WARC-Record-ID']} is wrong")
+                rows.append((int(page) if page else None, size, digest, f["WARC-Type"], f.get("WARC-Refers-To"), f["WARC-Date"], f["WARC-Record-ID"]))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names=names)
 
 
@@ -181,26 +185,39 @@ def write_archives(pages: DataFrame, path: str, smallest: int = 0) -> None:
     """Writes pages (page_id, url, html) as WARC files under path, by way of ARC.
 
     Of records with equal payloads of at least smallest bytes, that with the least page_id is a response and the
-    others are revisits of it. Nulls: a null html is an empty payload, a null url an empty target; a page without an
-    id is a revisit if any other page has its payload, else a response. Repeated rows of the first page are responses
-    each. Extra columns are not read. An empty table gives no records.
+    others are revisits of it. Ties: of repeated rows of that page the first in the table is the response. Every row has a
+    record id of its own, made of its page, payload and place in the table, so pages must be stored, not computed anew.
+    Nulls: a null html is an empty payload, a null url an empty target; a page without an id comes after those that have one.
+    Extra columns are not read. An empty table gives no records. A page must fit in a worker's memory some ten times.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.cast("binary").alias("html"), F.sha1(html.cast("binary")).alias("_digest"))
-    firsts = slim.groupBy("_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    firsts = written(firsts.select(F.col("_digest").alias("_d"), "first_id"), "firsts")
+    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.cast("binary").alias("html"), F.sha1(html.cast("binary")).alias("_digest"), F.monotonically_increasing_id().alias("row"))
+    least = F.min(F.struct(F.col("page_id").isNull().alias("late"), "page_id", "row")).alias("first")
+    firsts = slim.groupBy("_digest").agg(least, F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    firsts = written(firsts.select(F.col("_digest").alias("_d"), F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row")), "firsts")
     slim = slim.join(firsts, slim["_digest"] == firsts["_d"], "left")
     mean = slim.agg(F.avg(F.length("html"))).first()[0] or 0.0
-    first = F.when(F.length("html") >= smallest, F.col("first_id"))
-    records = map_batches(slim.select("page_id", "url", "html", first.alias("first_id")), _to_warc, "value string")
+    first = F.when(F.length("html") >= smallest, F.col("first_row"))
+    records = map_batches(slim.select("page_id", "url", "html", "row", "first_id", first.alias("first_row")), _to_warc, "value string")
     # A record and the two line ends that close it are one line of Spark's text writer: so files go to any store.
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 1000)))).text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """The records of the WARC files under path: page_id, payload_bytes, payload_digest, record_type, refers_to, warc_date, record_id."""
+    """The records of the WARC files under path: page_id, payload_bytes, payload_digest, record_type, refers_to, warc_date, record_id.
+
+    Size and digest are those of the payload that was read; a revisit has them from the record that it names.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return map_batches(files, _from_warc, _READ_SCHEMA)
+    records = written(map_batches(files, _from_warc, _READ_SCHEMA), "records")
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "warc_date", "record_id")
+    own = records.filter("record_type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long")).select(*columns)
+    named = records.filter("record_type <> 'revisit'").select(F.col("record_id").alias("_id"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"), F.col("page_id").alias("refers_to"))
+    asked = records.filter("record_type = 'revisit'").drop("payload_bytes")
+    named = written(named.join(asked.select(F.col("refers_id").alias("_asked")).distinct(), F.col("_id") == F.col("_asked"), "left_semi"), "named")
+    again = joined_spread(asked, named, "refers_id", "_id", "record_id")
+    again = again.withColumn("payload_digest", F.when(F.col("payload_digest") == F.col("_digest"), F.col("_digest"))).withColumnRenamed("_bytes", "payload_bytes")
+    return own.unionByName(again.select(*columns))
 
 
 def op10_legacy_archives(spark, sf_dir: str) -> DataFrame:

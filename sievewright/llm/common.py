@@ -91,7 +91,7 @@ def joined_spread(left: DataFrame, right: DataFrame, key: str, other: str, by: s
     hot = {r["_k"]: min(HOT_SHARE, -(-r["_n"] // least)) for r in times.filter(F.col("_n") > least).collect()}
     if not hot:
         return left.join(right, F.col(key) == F.col(other)).drop(other)
-    parts = F.broadcast(left.sparkSession.createDataFrame(list(hot.items()), "_hot long, _parts int"))
+    parts = F.broadcast(left.sparkSession.createDataFrame(list(hot.items()), f"_hot {left.schema[key].dataType.simpleString()}, _parts int"))
     left = left.join(parts, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0)).cast("int")).drop("_hot", "_parts")
     right = right.join(parts, F.col(other) == F.col("_hot"), "left").withColumn("_other_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_hot", "_parts")
     return left.join(right, (F.col(key) == F.col(other)) & (F.col("_part") == F.col("_other_part"))).drop(other, "_part", "_other_part")

@@ -83,8 +83,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     reach = listed.agg(F.max(F.size(F.split("pattern", r"\."))).alias("labels"), F.max(F.size(F.split("pattern", "/")) - 1).alias("segments"), F.count(F.lit(1)).alias("n")).first()
     slim = captures.select("page_id", "url", "fetched", F.coalesce(url_host(F.col("url")), F.lit("")).alias("host"), F.coalesce(url_path(F.col("url")), F.lit("")).alias("path"))
     slim = slim.withColumn("_row", F.monotonically_increasing_id())
-    # The last lookup matches nothing and keeps the capture.
-    keys = slim.withColumn("_k", F.explode(F.concat(lookups(reach["labels"] or 1, reach["segments"] or 0), F.array(F.struct(F.lit("none").alias("kind"), F.lit("").alias("pattern"))))))
+    # The last lookup matches nothing and keeps the capture; each has one of its own, so they don't meet in a shuffle.
+    keys = slim.withColumn("_k", F.explode(F.concat(lookups(reach["labels"] or 1, reach["segments"] or 0), F.array(F.struct(F.lit("none").alias("kind"), F.col("_row").cast("string").alias("pattern"))))))
     right = listed.select(F.col("kind").alias("_kind"), F.col("pattern").alias("_pattern"), "category", "since", "until")
     right = F.broadcast(right) if reach["n"] <= BROADCAST_ROWS else right
     active = (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
@@ -111,13 +111,13 @@ WITH entries(kind, pattern, category, day, action) AS (
 ), listed AS (
   SELECT kind, pattern, category, day AS since, until FROM spans WHERE action = 'add' AND (until IS NULL OR until > day)
 ), captures AS (
-  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched,
+  SELECT row_number() OVER () AS capture, page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched,
     rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.') AS host,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS path
   FROM pages
 ), hits AS (
   SELECT c.*, l.kind, l.pattern, l.category, l.since,
-    row_number() OVER (PARTITION BY c.page_id, c.url ORDER BY length(l.pattern) DESC NULLS LAST, l.kind, l.category) AS n
+    row_number() OVER (PARTITION BY c.capture ORDER BY length(l.pattern) DESC NULLS LAST, l.kind, l.category) AS n
   FROM captures c LEFT JOIN listed l ON c.fetched >= l.since AND (l.until IS NULL OR c.fetched < l.until) AND CASE l.kind
     WHEN 'domain' THEN c.host = l.pattern OR ends_with(c.host, '.' || l.pattern)
     WHEN 'host' THEN c.host = l.pattern
