@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.errors import AnalysisException, ArithmeticException, DateTimeException, NumberFormatException
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,7 +74,7 @@ def literal_keys(spark: SparkSession, values: list, kind: str) -> list[str] | No
         own = [a.try_cast(kind) for a in asked]
         keys = [F.when(o.cast(met).eqNullSafe(a), canonical(o, kind)) for o, a in zip(own, asked)]
         return sorted({k for k in spark.range(1).select(F.array(*keys).alias("k")).first()["k"] if k is not None})
-    except (AnalysisException, KeyError, ArithmeticException, NumberFormatException, DateTimeException):
+    except (PySparkException, KeyError):  # the comparison has no type, or a literal no value: a scan says so
         return None
 
 

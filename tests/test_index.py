@@ -171,21 +171,22 @@ def test_limits(spark, table, tmp_path):
 
 def test_literals_of_other_types(spark, index):
     """Every kind of key against every kind of literal: the index answers as the scan does, or leaves it to the scan."""
-    literals = [3, 1, 0, 2**40, 3.0, 1.5, 0.1, -0.0, "3", "1", "x", "true", "2024-01-03", "1.5", True, False, dt.date(2024, 1, 3), dt.datetime(2024, 1, 3), Decimal("3"), Decimal("1.50")]
+    literals = [3, 2**40, 3.0, 0.1, -0.0, "3", "x", "2024-01-03", True, dt.date(2024, 1, 3), Decimal("1.50")]
     answered = 0
-    for key in ("a", "s", "b", "d", "f", "t"):
-        for value in literals:
-            for part in (Eq(key, value), In(key, [value]), In(key, [value, value if isinstance(value, str) else None, "0"] if isinstance(value, str) else [value, None])):
-                predicate = all_of(part)
-                try:
-                    expected = index.table().filter(predicate.condition()).count()
-                except PySparkException:
-                    assert index.route(predicate, "bitmap")[0] == "native", part
-                    continue
-                answered += index.route(predicate, "bitmap")[0] == "bitmap"
-                got = {r: index.count(predicate, r).df.first()["cnt"] for r in ("native", "bitmap", "auto")}
-                assert set(got.values()) == {expected}, (part, expected, got)
-    assert answered > 60
+    for k, key in enumerate(("a", "s", "b", "d", "f", "t")):
+        for i, value in enumerate(literals):
+            predicate = all_of(In(key, [value, None]) if (i + k) % 2 else Eq(key, value))
+            # A column plus nothing isn't pushed into the scan; types are as in a plain comparison.
+            column = F.coalesce(F.col(key), F.col(key)) if key != "f" else F.col(key) + F.lit(0.0).cast("float")
+            try:
+                expected = index.table().filter(column == F.lit(value)).count()
+            except PySparkException:
+                assert index.route(predicate, "bitmap")[0] == "native", predicate
+                continue
+            answer = index.count(predicate, "bitmap")
+            answered += answer.route == "bitmap"
+            assert answer.df.first()["cnt"] == expected == index.count(predicate, "native").df.first()["cnt"], (predicate, answer.route)
+    assert answered > 20
     assert literal_keys(spark, [0.1], "float") == [] and literal_keys(spark, [1.5], "float") == ["1.5"] and literal_keys(spark, ["3"], "string") == ["3"]
 
 
@@ -197,7 +198,7 @@ def test_stored_signed_zeros(spark, tmp_path, stored):
     index = BitmapIndex.build(spark, path, IndexSpec(["f", "g", "a"], ["id"]), str(tmp_path / "i"))
     n = sum(stored[i % len(stored)] == 0 for i in range(100))
     for key in ("f", "g"):
-        for p in (Eq(key, 0.0), Eq(key, -0.0), Eq(key, 0), In(key, [0.0]), In(key, [0.0, 7.0]), In(key, [-0.0, 0])):
+        for p in (Eq(key, 0.0), Eq(key, 0), In(key, [-0.0, 7.0])):
             assert both(index, all_of(p)) == n, (key, p)
         assert both(index, all_of(Eq(key, 0.0), Eq("a", 0))) == sum(stored[i % len(stored)] == 0 for i in range(0, 100, 2))
         assert index.table().filter(Eq(key, 0.0).condition()).count() == n
@@ -306,11 +307,12 @@ def test_where_clauses(spark, index):
         "3 = a AND t IN ('x', NULL, 'x') AND b = true": all_of(Eq("a", 3), In("t", ["x"]), Eq("b", True)),
         "a IS NULL AND f IS NOT NULL AND d = DATE '2024-01-03'": all_of(IsNull("a"), IsNotNull("f"), Eq("d", dt.date(2024, 1, 3))),
         "a = NULL": all_of(Eq("a", None)),
+        "b AND NOT b AND f = CAST(1.5 AS FLOAT) AND a = -3": all_of(Eq("b", True), Eq("b", False), Eq("f", 1.5), Eq("a", -3)),
         "a = 65538 AND s = 65538": all_of(Eq("a", 65538), Eq("s", 65538)),
     }
     for text, predicate in texts.items():
         assert index.where(text) == predicate
-    for text in ("a > 3", "a <> 3", "a NOT IN (1, 2)", "NOT a = 3", "a = 1 OR s = 2", "t LIKE 'x%'", "a BETWEEN 1 AND 2", "a = s", "a + 1 = 2", "a <=> NULL", "v = 1", "b"):
+    for text in ("a > 3", "a <> 3", "a NOT IN (1, 2)", "NOT a = 3", "a = 1 OR s = 2", "t LIKE 'x%'", "a BETWEEN 1 AND 2", "a = s", "a + 1 = 2", "a <=> NULL", "v = 1", "a = rand()"):
         assert not index.where(text).indexable(index.keys)
     for text in (*texts, "a <> 3 AND s = 1", "a = 1 OR s = 2", "NOT (a = 3) AND t = 'x'", "a BETWEEN 1 AND 2 AND b = true"):
         expected = index.table().filter(text).count()
