@@ -92,7 +92,7 @@ LITERALS = (
     ("v_date = '1997-10-31'", "CAST(l_shipdate AS DATE) = DATE '1997-10-31'"), ("v_date IN ('1997-10-31', '1997-11-01')", "CAST(l_shipdate AS DATE) IN (DATE '1997-10-31', DATE '1997-11-01')"),
     ("l_linenumber = '3'", "l_linenumber = 3"), ("l_linenumber IN ('3')", "l_linenumber = 3"), ("l_linenumber IN ('3', '4')", "l_linenumber IN (3, 4)"), ("l_linenumber = 3.0D", "l_linenumber = 3"),
     ("l_suppkey = 7.0D", "l_suppkey = 7"), ("l_suppkey = '7'", "l_suppkey = 7"), ("l_suppkey = CAST(7 AS TINYINT)", "l_suppkey = 7"), ("v_short = 3.5D", "false"), ("v_short = '3'", "l_linenumber = 3"),
-    ("v_bool = 'true'", "l_linestatus = 'F'"), ("v_float = 0.07D", "false"), ("v_float = '0.07'", "CAST(l_discount AS FLOAT) = CAST('0.07' AS FLOAT)"), ("v_zero = 0", "l_linenumber IN (1, 2)"), ("v_zero = -0.0D", "l_linenumber IN (1, 2)"),
+    ("v_bool = 'true'", "l_linestatus = 'F'"), ("v_float = 0.07D", "false"), ("v_zero = '1.5'", "l_linenumber NOT IN (1, 2)"), ("v_zero = 0", "l_linenumber IN (1, 2)"), ("v_zero = -0.0D", "l_linenumber IN (1, 2)"),
     ("v_zero = '0'", "l_linenumber IN (1, 2)"), ("v_zero IN (0.0D, 1.5D)", "true"), ("v_minus = 0.0D", "true"), ("v_minus = 0", "true"), ("v_minus IN (0.0D)", "true"), ("v_minus = 0.0D AND l_linenumber = 3", "l_linenumber = 3"),
     ("l_linenumber IN (NULL)", "false"), ("v_bool", "l_linestatus = 'F'"), ("NOT v_bool AND l_linenumber = 3", "l_linestatus <> 'F' AND l_linenumber = 3"), ("l_returnflag = 'R' AND l_linenumber = '3'", "l_returnflag = 'R' AND l_linenumber = 3"),
 )
