@@ -20,6 +20,8 @@ __all__ = ["discard", "joined_small", "joined_spread", "map_batches", "ranked",
 BATCH_ROWS = 512
 #: Tables of at most this many (small) rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Bytes of text that are broadcast, at most.
+BROADCAST_BYTES = 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -77,13 +79,14 @@ HOT_SHARE = 1000
 HOT_ROWS = 1000
 
 
-def joined_spread(left: DataFrame, right: DataFrame, key: str, other: str, by: str, counted: str | None = None) -> DataFrame:
+def joined_spread(left: DataFrame, right: DataFrame, key: str, other: str, by: str, counted: str | None = None, wide: str | None = None) -> DataFrame:
     """Inner join of left.key with right.other, one row a key on the right; a key with many rows on the left is cut by a hash of by.
 
-    right is broadcast if its counted rows are few. Else the rows of each hot key are counted, at most HOT_SHARE such counts come to the
+    right is broadcast if its counted rows, and the bytes of the text column wide if it has one, are few. Else the rows of each hot key are counted, at most HOT_SHARE such counts come to the
     driver, and right's row is repeated for each part. counted: the column of right that has the counts already. right's key is dropped.
     """
-    if right.count() <= BROADCAST_ROWS:
+    size = right.agg(F.count(F.lit(1)).alias("n"), (F.sum(F.octet_length(wide)) if wide else F.lit(0)).alias("bytes")).first()
+    if size["n"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), F.col(key) == F.col(other)).drop(other)
     times = right.select(F.col(other).alias("_k"), F.col(counted).alias("_n")) if counted else left.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
     times = written(times, "times")

@@ -35,7 +35,7 @@ WIDE_FROM = 128
 MOST_EDITS = CHARS_AN_EDIT - 1
 #: Buckets of more lines are split by finer pieces, about so many for each segment and of so many characters at least.
 LARGE_BUCKET = 16
-FINER, PIECE_CHARS = 4, 4
+FINER, PIECE_CHARS = 8, 6
 #: Tables of at most so many single long keys are broadcast.
 KEYS = 1_000_000
 _BLANK = " \t\n\x0b\x0c\r"
@@ -183,18 +183,23 @@ def _common(x: Column, y: Column, side) -> Column:
 def near(one: Column, two: Column, rule: Rule) -> Column:
     """Whether two lines are within the threshold of the shorter one.
 
-    First the shorter line is cut into pieces: each that the other doesn't have, wherever, holds an edit of its own. Then what both
+    First the shorter line is cut into pieces: each that the other doesn't have thereabouts holds an edit of its own. Then what both
     begin and end with is taken off, which leaves the distance as it is, and the rest goes through the bit-parallel band.
     """
 
     def bound(p: Column) -> Column:
-        a, b, most = p["a"], p["b"], p["most"]
-        size = F.greatest(F.lit(PIECE_CHARS), F.floor(F.char_length(a) / ((most + 1) * FINER)).cast("int"))
-        missing = F.aggregate(
-            F.sequence(F.lit(0), F.floor(F.char_length(a) / size).cast("int") - 1, F.lit(1)), F.lit(0),
-            lambda n, q: F.when(n > most, n).otherwise(n + F.when(F.call_function("instr", b, F.substring(a, q * size + 1, size)) == 0, 1).otherwise(0)),
-        )
-        return (F.char_length(a) < size) | (missing <= most)
+        """Whether no more pieces than edits are missing; one that no edit touched has moved by the edits at most."""
+        size = F.greatest(F.lit(PIECE_CHARS), F.floor(p["n"] / ((p["most"] + 1) * FINER)).cast("int"))
+
+        def missing(z: Column) -> Column:
+            def found(q: Column) -> Column:
+                window = F.substring(p["b"], F.greatest(q * z - p["most"], F.lit(0)) + 1, z + 2 * p["most"])
+                return F.call_function("instr", window, F.substring(p["a"], q * z + 1, z))
+
+            pieces = F.sequence(F.lit(0), F.floor(p["n"] / z).cast("int") - 1, F.lit(1))
+            return F.aggregate(pieces, F.lit(0), lambda n, q: F.when(n > p["most"], n).otherwise(n + F.when(found(q) == 0, 1).otherwise(0)))
+
+        return F.transform(F.array(size), lambda z: F.when(p["n"] < z, True).otherwise(missing(z) <= p["most"]))[0]
 
     def trimmed(p: Column) -> Column:
         return F.transform(F.array(_common(p["a"], p["b"], F.left)), lambda n: F.struct(F.substring(p["a"], n + 1, F.char_length(p["a"])).alias("a"), F.substring(p["b"], n + 1, F.char_length(p["b"])).alias("b")))[0]
@@ -207,9 +212,8 @@ def near(one: Column, two: Column, rule: Rule) -> Column:
 
     swap = F.char_length(one) > F.char_length(two)
     shorter, longer = F.when(swap, two).otherwise(one), F.when(swap, one).otherwise(two)
-    pair = F.struct(shorter.alias("a"), longer.alias("b"), rule.allowed(F.least(F.char_length(one), F.char_length(two))).alias("most"))
-    ahead = lambda p: F.char_length(p["b"]) - F.char_length(p["a"])
-    return F.transform(F.array(pair), lambda p: F.when(ahead(p) > p["most"], False).when(~bound(p), False).otherwise(distance(p) <= p["most"]))[0]
+    pair = F.struct(shorter.alias("a"), longer.alias("b"), rule.allowed(F.least(F.char_length(one), F.char_length(two))).alias("most"), F.least(F.char_length(one), F.char_length(two)).alias("n"))
+    return F.transform(F.array(pair), lambda p: F.when(F.char_length(p["b"]) - p["n"] > p["most"], False).when(~bound(p), False).otherwise(distance(p) <= p["most"]))[0]
 
 
 def corpus_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
@@ -224,8 +228,8 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule, name: str) -> DataF
     """pairs (h, before) of different lines -> the h that are within the threshold of before."""
     # Pairs are few bytes and much work: they are dealt out evenly.
     pairs = written(pairs.distinct(), f"{name}-pairs").repartition(shuffle_partitions(pairs.sparkSession), "h", "before")
-    both = joined_spread(pairs, texts.select(F.col("h").alias("_h"), F.col("line").alias("one")), "h", "_h", "before")
-    both = joined_spread(both, texts.select(F.col("h").alias("_b"), F.col("line").alias("two")), "before", "_b", "h")
+    both = joined_spread(pairs, texts.select(F.col("h").alias("_h"), F.col("line").alias("one")), "h", "_h", "before", wide="one")
+    both = joined_spread(both, texts.select(F.col("h").alias("_b"), F.col("line").alias("two")), "before", "_b", "h", wide="two")
     return written(both.filter(near(F.col("one"), F.col("two"), rule)).select("h").distinct(), f"{name}-near")
 
 

@@ -40,7 +40,7 @@ SIGNATURE_BITS = 1024
 WIDE_BITS = 1 << 14
 
 #: Rounds in which tiles are held against their hubs, at most; what they leave is compared all the same.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 
 #: Members of a group that are verified by one task at a time.
 PART = 64

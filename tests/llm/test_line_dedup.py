@@ -71,7 +71,7 @@ def edited(n, most, length, seed):
     return rows
 
 
-@pytest.mark.parametrize(("edits", "length"), [(1, 40), (2, 33), (3, 36), (0, 40), (None, 57), (None, 100)])
+@pytest.mark.parametrize(("edits", "length"), [(2, 33), (None, 57), (None, 100)])
 def test_against_brute_force(make_docs, edits, length):
     rows = edited(30, (5 if edits is None else edits) + 2, length, length)
     expected = brute(rows, edits)

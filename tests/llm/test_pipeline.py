@@ -89,6 +89,17 @@ def test_repeated_rows_and_nulls(spark):
     assert len(rows_of(stages["line dedup"](spark, docs, ""))) == 4  # the third has lost its line
 
 
+def test_clashing_columns_and_long_texts(spark):
+    long = "\n".join(" ".join(f"word{i * 7 + j}" for j in range(7)) for i in range(20_000))
+    docs = spark.createDataFrame([(1, long, "en", "s", 9), (2, long + " end", "en", "s", 9), (3, "a short text of its own", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("_d", "_t", "_th", "_times", "_copy", "_lost", "th", "h", "line", "key", "comp", "size", "copies", "stays", "rank"):
+        docs = docs.withColumn(name, F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == COLUMNS and {r["doc_id"] for r in out.select("doc_id").collect()} <= {1, 2, 3}, name
+    assert sorted(r[0] for r in rows_of(dict(corpus_pipeline.STAGES)["n-gram jaccard join"](spark, docs, ""))) == [1, 3]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in corpus_pipeline.STAGES:
