@@ -150,7 +150,8 @@ class BitmapIndex:
 
     def fresh(self) -> bool:
         """Whether the files are still those that were indexed."""
-        return all(self.store.fingerprint(path) == (size, changed) for _, path, size, changed in self.manifest["files"] + self.manifest["pending"])
+        files = self.manifest["files"] + self.manifest["pending"]
+        return self.store.fingerprints([path for _, path, *_ in files]) == [(size, changed) for _, _, size, changed in files]
 
     def _condition(self, predicate: And) -> Column:
         return predicate.condition({f.name: f.dataType.simpleString() for f in StructType.fromJson(json.loads(self.manifest["schema"]))})
@@ -400,7 +401,7 @@ def _files(spark: SparkSession, paths: list[str]) -> list[list]:
     """Path, size and time of change of the Parquet files under these paths, in order; files without rows have none."""
     listed = sorted(spark.read.parquet(*paths).inputFiles())
     store = Store(spark, paths[0])
-    return [[f, *store.fingerprint(f)] for f in listed]
+    return [[f, *seen] for f, seen in zip(listed, store.fingerprints(listed))]
 
 
 def _plain(spark: SparkSession, schema: str, files: list) -> DataFrame:

@@ -100,7 +100,8 @@ def lookup(postings: DataFrame, predicate: And, keys: dict[str, str]) -> DataFra
     for c in parts[1:]:
         any_part = any_part | c
     places = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(parts)]))
-    hit = postings.filter(any_part).withColumn("_q", F.explode(places))
+    # All that follows is by bucket: one exchange serves the unions and the intersection.
+    hit = postings.filter(any_part).withColumn("_q", F.explode(places)).repartition("bucket")
     united = as_bitmaps(hit, "_q")
     met = united.groupBy("bucket").agg(F.bitmap_and_agg("bm").alias("bm"), F.count(F.lit(1)).alias("_n"))
     return met.filter(F.col("_n") == len(parts)).select("bucket", "bm")

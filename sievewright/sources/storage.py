@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -107,11 +108,18 @@ class Store:
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(self.path(name)), True)
 
-    def fingerprint(self, path: str) -> tuple[int, int] | None:
-        """Size and time of change of any file; None if it isn't there."""
-        p = self._path(path)
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return None
-        status = fs.getFileStatus(p)
-        return status.getLen(), status.getModificationTime()
+    def fingerprints(self, paths: list[str]) -> list[tuple[int, int] | None]:
+        """Size and time of change of files anywhere, by one listing a folder; None for those that aren't there."""
+        found: dict[str, tuple[int, int]] = {}
+        for folder in sorted({p.rpartition("/")[0] for p in paths}):
+            at = self._path(folder)
+            fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for status in fs.listStatus(at) if fs.exists(at) else ():
+                found[_one_slash(status.getPath().toString())] = (status.getLen(), status.getModificationTime())
+        named = [self._path(p).getFileSystem(self.spark._jsc.hadoopConfiguration()).makeQualified(self._path(p)).toString() if ":/" not in p else p for p in paths]
+        return [found.get(_one_slash(p)) for p in named]
+
+
+def _one_slash(path: str) -> str:
+    """A path in one spelling: stores name the same file with one slash or three after the scheme."""
+    return re.sub(r"^([A-Za-z0-9+.\-]+):/+", r"\1:/", path)

@@ -38,7 +38,7 @@ _SHARED: dict[tuple[str, str, str], BitmapIndex] = {}
 def shared_index(spark: SparkSession, sf_dir: str, table: str) -> BitmapIndex:
     """The index of a table, built by the first query of the application that asks. Nothing may change it."""
     key = (spark.sparkContext.applicationId, sf_dir, table)
-    if key not in _SHARED:
+    if key not in _SHARED or not _SHARED[key].store.names():
         columns, spec = _TABLES[table]
         path = scratch_path(spark, table)
         spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*columns).write.parquet(path)

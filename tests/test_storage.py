@@ -18,4 +18,5 @@ def test_json_appears_once(spark, tmp_path):
     assert store.read_json("a.json") == {"x": 1, "é": [None]} and store.names() == ["a.json"]
     with pytest.raises(FileExistsError):
         store.put_json("a.json", {})
-    assert store.fingerprint(store.path("missing")) is None and store.names() == ["a.json"]
+    seen = store.fingerprints([store.path("missing"), f"file:///{store.path('a.json').lstrip('/')}", store.path("a.json"), "/no/such/folder/x"])
+    assert seen[0] is seen[3] is None and seen[1] == seen[2] and seen[1][0] > 10 and store.names() == ["a.json"]
