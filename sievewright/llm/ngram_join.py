@@ -9,7 +9,7 @@ First every document of a band is held against the band's first one only, so tha
 one comparison each. Then, in tiles that still hold more than one component, every document is held against the hub, the one
 that most such tiles hold: copies edited in places of their own have rare shingles that nobody shares, their common origin
 has none. This goes on while it links anything. In what tiles are left, pairs of different components are compared,
-each pair in the tile of its first common shingle only.
+each pair in the tile of its first common shingle (again in later ones only where sets are in very many tiles).
 """
 
 from __future__ import annotations
@@ -38,6 +38,10 @@ SEEN_SETS = 200_000
 SIGNATURE_BITS = 1024
 #: Sets of over twice as many shingles have a wide signature too, of up to so many bits.
 WIDE_BITS = 1 << 14
+#: Sets of at most so many shingles go to their tiles with a signature folded to so many bits.
+FOLDED_SHINGLES, FOLDED_BITS = 800, 256
+#: Tiles of a set that are looked through for a pair that has met before.
+EARLIER = 64
 
 #: Rounds in which tiles are held against their hubs, at most; what they leave is compared all the same.
 HUB_ROUNDS = 2
@@ -247,24 +251,67 @@ def _screen(percent: int):
     return run
 
 
-def first_common(x: np.ndarray, y: np.ndarray) -> int | None:
-    """The least value of two sorted arrays of different values."""
+def folded(signatures: np.ndarray) -> np.ndarray:
+    """Rows of signatures folded to FOLDED_BITS, which keeps parities."""
+    return np.bitwise_xor.reduce(signatures.reshape(len(signatures), -1, FOLDED_BITS // 64), axis=1)
+
+
+def disjoint(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two arrays, of different values each, have none in common."""
     both = np.concatenate([x, y])
     both.sort(kind="stable")
-    at = np.flatnonzero(both[1:] == both[:-1])
-    return int(both[at[0]]) if len(at) else None
+    return not (both[1:] == both[:-1]).any()
+
+
+_TILE_ROWS = "token long, n long, key long, comp long, sig binary, earlier binary"
+
+
+def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n, comp, sig, tokens in order) -> a row for each token, with the first EARLIER of the tokens before it.
+
+    The signature is folded where the set is so small that the folded one still tells sets apart.
+    """
+    names, kinds = [x.split()[0] for x in _TILE_ROWS.split(", ")], [pa.int64()] * 4 + [pa.binary()] * 2
+
+    def chunk(rows: list[tuple]) -> pa.RecordBatch:
+        token, times = np.concatenate([r[4] for r in rows]), [len(r[4]) for r in rows]
+        repeated = [np.repeat([r[i] for r in rows], times) for i in (1, 0, 2)]
+        sig = [r[3] for r in rows for _ in range(len(r[4]))]
+        earlier = [r[5][: 8 * i] for r in rows for i in range(len(r[4]))]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((token, *repeated, sig, earlier), kinds)], names=names)
+
+    for batch in batches:
+        rows, held = [], 0
+        for key, n, comp, sig, tokens in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "comp", "sig")), batch.column("tokens")):
+            if n <= FOLDED_SHINGLES:
+                sig = folded(np.frombuffer(sig, dtype=np.uint64)[None]).tobytes()
+            tokens = tokens.values.to_numpy()
+            earlier = tokens[:EARLIER].tobytes()
+            rows.append((key, n, comp, sig, tokens, earlier))
+            held += len(tokens) * (32 + len(sig) + len(earlier))
+            if held > CHUNK:
+                yield chunk(rows)
+                rows, held = [], 0
+        if rows:
+            yield chunk(rows)
 
 
 def _compare(percent: int):
-    """(token, n, key, comp, sig, prefix) in order -> pairs of different components that the signatures allow.
+    """Rows of _TILE_ROWS in order of token and n -> pairs of different components that the signatures allow.
 
-    prefix has the mixed tiles that a set is in, in order: a pair comes from the first that both are in.
+    A pair that has met in an earlier tile is passed over. Only the first EARLIER tiles of a set are looked through for
+    that: sets in many tiles may give a pair more than once, and none never.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, n, key, comp, sig, prefix in _tiles(batches):
-            own = [np.frombuffer(x, dtype=np.int64) for x in prefix]
-            bits = np.frombuffer(b"".join(sig), dtype=np.uint64).reshape(len(sig), SIGNATURE_BITS // 64)
+        for token, n, key, comp, sig, earlier in _tiles(batches):
+            own = [np.frombuffer(x, dtype=np.int64) for x in earlier]
+            large = n > FOLDED_SHINGLES
+            full = np.frombuffer(b"".join(sig[large]), dtype=np.uint64).reshape(-1, SIGNATURE_BITS // 64)
+            bits = np.empty((len(n), FOLDED_BITS // 64), dtype=np.uint64)
+            bits[~large] = np.frombuffer(b"".join(sig[~large]), dtype=np.uint64).reshape(-1, FOLDED_BITS // 64)
+            bits[large] = folded(full) if len(full) else 0
+            at = np.cumsum(large) - 1
             i, step = np.arange(len(token)), 1
             while True:
                 i = i[i + step < len(token)]
@@ -275,7 +322,10 @@ def _compare(percent: int):
                 x = i[comp[i] != comp[i + step]]
                 for x in np.array_split(x, -(-len(x) // 65536) or 1):
                     ok = x[allowed(bits[x], bits[x + step], n[x], n[x + step], percent)]
-                    ok = ok[[first_common(own[j], own[j + step]) == token[j] for j in ok.tolist()]] if len(ok) else ok
+                    both = ok[large[ok] & large[ok + step]]
+                    told = both[~allowed(full[at[both]], full[at[both + step]], n[both], n[both + step], percent)]
+                    ok = np.setdiff1d(ok, told, assume_unique=True)
+                    ok = ok[[disjoint(own[j], own[j + step]) for j in ok.tolist()]] if len(ok) else ok
                     if len(ok):
                         a, b = key[ok], key[ok + step]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -284,13 +334,6 @@ def _compare(percent: int):
     return run
 
 
-def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrays of longs as bytes."""
-    for batch in batches:
-        prefix = [np.asarray(x.values.to_numpy()).tobytes() for x in batch.column("prefix")]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(prefix, pa.binary())], names=["key", "prefix"])
-
-
 def _gather(size: int):
     """(text, roles) -> a row for each group that the text's set has a role in, with the set as a sorted array."""
 
@@ -446,12 +489,11 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
         mixed = fewer
 
     # A set has few mixed tiles, its prefix at most.
-    prefixes = mixed.groupBy("key").agg(F.array_sort(F.collect_list("token")).alias("prefix"))
-    prefixes = written(map_batches(prefixes, _as_bytes, "key long, prefix binary"), "prefixes")
-    rows = mixed.join(side("a").join(prefixes.withColumnRenamed("key", "_k"), F.col("a_key") == F.col("_k")), F.col("key") == F.col("a_key"))
-    rows = rows.select("token", "n", "key", "comp", F.col("a_sig").alias("sig"), "prefix").repartition(parts, "token").sortWithinPartitions("token", "n", "key")
+    prefixes = mixed.groupBy("key").agg(F.min("comp").alias("comp"), F.array_sort(F.collect_list("token")).alias("tokens"))
+    prefixes = prefixes.join(side("a"), F.col("key") == F.col("a_key")).select("key", F.col("a_n").alias("n"), "comp", F.col("a_sig").alias("sig"), "tokens")
+    rows = map_batches(prefixes, _tile_rows, _TILE_ROWS).repartition(parts, "token").sortWithinPartitions("token", "n", "key")
     more = verified(screened(map_batches(rows, _compare(percent), "a long, b long"), "rest"), "rest")
-    discard(mixed, prefixes)
+    discard(mixed)
     if not more.isEmpty():
         labels = components(links.union(more))
 

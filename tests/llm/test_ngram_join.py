@@ -3,8 +3,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from sievewright.llm import ngram_join
 from sievewright.llm.ngram_join import WordHashes, allowed, components, ngram_components, op4_ngram_jaccard, prefix_length, shingle_set, signature
 
 
@@ -114,3 +116,35 @@ def test_signatures_never_refuse_a_link():
             bits = [np.frombuffer(signature(s), dtype=np.uint64)[None] for s in (x, y)]
             assert allowed(*bits, np.array([len(x)]), np.array([len(y)]), 80)[0]
             assert len(np.intersect1d(x[: prefix_length(len(x), 80)], y[: prefix_length(len(y), 80)])) > 0
+
+
+def test_folded_signatures_keep_the_bound():
+    rng = np.random.default_rng(5)
+    for n in (3, 200, 3000):
+        x, y = (np.unique(rng.integers(0, 4000, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
+        one, two = (ngram_join.folded(np.frombuffer(signature(s), dtype=np.uint64)[None]) for s in (x, y))
+        assert int(np.bitwise_count(one ^ two).sum()) <= len(np.setxor1d(x, y))
+
+
+@pytest.mark.parametrize("earlier", [0, 2, 64])
+def test_tiles_give_every_pair(monkeypatch, earlier):
+    """Pairs over the threshold that share a tile are found; with all earlier tiles at hand, each of them once."""
+    monkeypatch.setattr(ngram_join, "EARLIER", earlier)
+    monkeypatch.setattr(ngram_join, "FOLDED_SHINGLES", 60)
+    rng = np.random.default_rng(11)
+    base, sets = rng.integers(1, 1 << 62, 66).astype(np.uint64), []
+    for _ in range(40):
+        x = base[: int(rng.integers(54, 67))].copy()
+        x[rng.integers(0, len(x), int(rng.integers(0, 6)))] = rng.integers(1, 1 << 62, 1).astype(np.uint64)
+        sets.append(np.unique(x))
+    tokens = [np.sort(rng.choice(12, int(rng.integers(1, 9)), replace=False)) for _ in sets]
+    keys = list(range(len(sets)))
+    columns = [pa.array(keys), pa.array([len(s) for s in sets]), pa.array(keys), pa.array([signature(s) for s in sets]), pa.array([t.tolist() for t in tokens], pa.list_(pa.int64()))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["key", "n", "comp", "sig", "tokens"])
+    rows = pa.Table.from_batches(ngram_join._tile_rows(iter([batch]))).sort_by([("token", "ascending"), ("n", "ascending"), ("key", "ascending")])
+    found = Counter((a, b) for out in ngram_join._compare(80)(iter(rows.to_batches(max_chunksize=17))) for a, b in zip(*(out.column(c).to_pylist() for c in "ab")))
+    share = {(i, j) for i in keys for j in keys[:i] if len(np.intersect1d(tokens[i], tokens[j]))}
+    over = {(j, i) for i, j in share if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert over and over <= set(found) <= {(j, i) for i, j in share}
+    if earlier == 64:
+        assert max(found.values()) == 1
