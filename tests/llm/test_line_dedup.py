@@ -188,3 +188,38 @@ def test_longer_lines_allow_more_edits(make_docs, tmp_path, spark):
     assert 10 < sum(near.values()) < len(bases) and any(near[i] and not within(rows[i][1], rows[i - 1][1], 1) for i in near if i % 2)
     make_docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"]: r["n_near"] == 1 for r in op8_line_dedup(spark, str(tmp_path)).collect()} == near
+
+
+def test_chance_meetings_are_not_listed(make_docs, monkeypatch):
+    """Lines of one common beginning and unrelated rests: their texts aren't compared, and near ones among them are found."""
+    rng = random.Random(8)
+    lines = ["one beginning that many lines have, and " + "".join(rng.choice("abcdefghijklmnoprstu ") for _ in range(60 + rng.randrange(15))).strip() + "." for _ in range(150)]
+    lines += [x[:70] + "Q" + x[72:] for x in lines[:9]]
+    rows = [(i, x) for i, x in enumerate(lines)]
+    listed, verified = [], line_dedup.verified
+
+    def counted(pairs, *rest):
+        listed.append(pairs.distinct().count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "verified", counted)
+    expected = brute(rows)
+    assert got(dedup_lines(make_docs(rows))) == expected and sum(r[4] for r in expected) == 9
+    assert sum(listed) < 40
+
+
+def test_profiles_bound_the_edits(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        a = [rng.choice("eeeea ,éü😀zQ") for _ in range(rng.randrange(1, 300))]
+        b, n = a[:], rng.randrange(1, 6)
+        for _ in range(n):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = rng.choice(["", "e", "a", "é", "😀"])
+        rows.append((i, "".join(a), "".join(b), n))
+    out = spark.createDataFrame(rows, "i int, a string, b string, n int")
+    for name in "ab":
+        out = out.select("*", *[c.alias(f"{name}{k}") for k, c in enumerate(line_dedup.profile(F.col(name)))])
+    out = out.withColumn("differ", F.expr("bit_count(a1 ^ b1) + bit_count(a2 ^ b2)")).filter("differ > 2 * n OR abs(a0 - b0) > n")
+    assert out.isEmpty()
