@@ -2,7 +2,9 @@
 
 Rare shingles come first in one order of all shingles, and a document is filed under the first few of its own: two
 documents over the threshold share one of these (prefix filter). The documents under a shingle are a tile, kept in
-order of set size and cut into size bands. Within a tile, hashed bitmap signatures of fixed size bound the overlap of
+order of set size and cut into size bands. In the first shingle that two sets share, neither has more of them in common than
+it has shingles from there on (positional filter); a set that is over the threshold with no other one of a tile by that count
+leaves the tile at once. Within a tile, hashed bitmap signatures of fixed size bound the overlap of
 two sets from above by their bit counts; what is left is verified by intersecting the sorted arrays.
 
 First every document of a band is held against the band's first one only, so that a large group of near copies costs
@@ -42,6 +44,8 @@ WIDE_BITS = 1 << 14
 FOLDED_SHINGLES, FOLDED_BITS = 800, 256
 #: Tiles of a set that are looked through for a pair that has met before.
 EARLIER = 64
+#: Next sets of its tile that a set is held against by sizes and places; tiles of more sets of like size stay whole.
+NEIGHBOURS = 256
 
 #: Rounds in which tiles are held against their hubs, at most; what they leave is compared all the same.
 HUB_ROUNDS = 2
@@ -157,13 +161,21 @@ def prefix_length(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
+def overlap_needed(nx, ny, percent: int):
+    """Common shingles that sets of these sizes need for a link."""
+    return -(-percent * (nx + ny) // (100 + percent))
+
+
 def _file(size: int, percent: int, shared):
-    """Rows (token, key, n): a token is a shingle with its level, how common it is, in the highest bits."""
+    """Rows (token, key, place): a token is a shingle with its level, how common it is, in the highest bits.
+
+    place: the size n of the set, and in the lower 32 bits rest, the number of its shingles from this one on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, level = WordHashes(), set(), shared.value
         for batch in batches:
-            tokens, keys, sizes = [], [], []
+            tokens, keys, places = [], [], []
             for text in batch.column("text"):
                 s = shingle_set(text.as_py(), size, hashes)
                 key = set_key(s)
@@ -177,13 +189,13 @@ def _file(size: int, percent: int, shared):
                 order = order[: prefix_length(len(s), percent)]
                 tokens.append(order)
                 keys.append(np.full(len(order), key, dtype=np.int64))
-                sizes.append(np.full(len(order), len(s), dtype=np.int64))
+                places.append((len(s) << 32) + np.arange(len(s), len(s) - len(order), -1, dtype=np.int64))
             if len(hashes) > CACHE_WORDS:
                 hashes.clear()
             if len(seen) > SEEN_SETS:
                 seen.clear()
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], names=["token", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], names=["token", "key", "place"])
 
     return run
 
@@ -210,26 +222,45 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield [np.concatenate(x) for x in zip(*parts)]
 
 
+def partnered(token: np.ndarray, n: np.ndarray, rest: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the tile of each row has a partner for it that may be over the threshold if this is the first shingle they share.
+
+    Rows are in order of token and n. Sets with more than NEIGHBOURS next ones of like size are kept, with their tiles.
+    """
+    kept = np.zeros(len(token), dtype=bool)
+    i, step = np.arange(len(token)), 1
+    while True:
+        i = i[i + step < len(token)]
+        needed = overlap_needed(n[i], n[i + step], percent)
+        # In order of size: a partner that asks too much of i leaves only those that ask more.
+        go = (token[i + step] == token[i]) & (rest[i] >= needed)
+        i, needed = i[go], needed[go]
+        if not len(i):
+            return kept
+        if step > NEIGHBOURS:
+            return kept | np.isin(token, token[i])
+        ok = i[rest[i + step] >= needed]
+        kept[ok] = kept[ok + step] = True
+        step += 1
+
+
 def _lead(percent: int):
-    """(token, key, n) in order -> the rows of tiles of two or more sets, with the first set of their size band."""
+    """(token, key, place) in order of token, place and key -> the rows (token, key, n, rest) that have a partner in their tile, with the first set of their size band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, key, n in _tiles(batches):
+        for token, key, place in _tiles(batches):
             new = np.ones(len(token), dtype=bool)
             new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-            token, key, n = token[new], key[new], n[new]
-            same = token[1:] == token[:-1]
-            shared = np.zeros(len(token), dtype=bool)
-            shared[1:] |= same
-            shared[:-1] |= same
-            token, key, n = token[shared], key[shared], n[shared]
+            token, key, n, rest = token[new], key[new], place[new] >> 32, place[new] & 0xFFFFFFFF
+            kept = partnered(token, n, rest, percent)
+            token, key, n, rest = token[kept], key[kept], n[kept], rest[kept]
             if not len(token):
                 continue
             band = np.floor(np.log(n) / np.log(100 / percent)) if percent < 100 else n
             starts = np.ones(len(token), dtype=bool)
             starts[1:] = (token[1:] != token[:-1]) | (band[1:] != band[:-1])
             leader = key[np.maximum.accumulate(np.where(starts, np.arange(len(token)), 0))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, key, n, leader)], names=["token", "key", "n", "leader"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, key, n, rest, leader)], names=["token", "key", "n", "rest", "leader"])
 
     return run
 
@@ -263,32 +294,34 @@ def disjoint(x: np.ndarray, y: np.ndarray) -> bool:
     return not (both[1:] == both[:-1]).any()
 
 
-_TILE_ROWS = "token long, n long, key long, comp long, sig binary, earlier binary"
+_TILE_ROWS = "token long, n long, key long, comp long, rest long, sig binary, earlier binary"
 
 
 def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n, comp, sig, tokens in order) -> a row for each token, with the first EARLIER of the tokens before it.
+    """(key, n, comp, sig, tokens in order, their rests, n if there are none) -> a row for each token, with the first EARLIER of the tokens before it.
 
     The signature is folded where the set is so small that the folded one still tells sets apart.
     """
-    names, kinds = [x.split()[0] for x in _TILE_ROWS.split(", ")], [pa.int64()] * 4 + [pa.binary()] * 2
+    names, kinds = [x.split()[0] for x in _TILE_ROWS.split(", ")], [pa.int64()] * 5 + [pa.binary()] * 2
 
     def chunk(rows: list[tuple]) -> pa.RecordBatch:
         token, times = np.concatenate([r[4] for r in rows]), [len(r[4]) for r in rows]
+        rest = np.concatenate([r[6] for r in rows])
         repeated = [np.repeat([r[i] for r in rows], times) for i in (1, 0, 2)]
         sig = [r[3] for r in rows for _ in range(len(r[4]))]
         earlier = [r[5][: 8 * i] for r in rows for i in range(len(r[4]))]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((token, *repeated, sig, earlier), kinds)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((token, *repeated, rest, sig, earlier), kinds)], names=names)
 
     for batch in batches:
         rows, held = [], 0
-        for key, n, comp, sig, tokens in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "comp", "sig")), batch.column("tokens")):
+        known = batch.column("rests") if "rests" in batch.schema.names else [None] * batch.num_rows
+        for key, n, comp, sig, tokens, rests in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "comp", "sig")), batch.column("tokens"), known):
             if n <= FOLDED_SHINGLES:
                 sig = folded(np.frombuffer(sig, dtype=np.uint64)[None]).tobytes()
             tokens = tokens.values.to_numpy()
             earlier = tokens[:EARLIER].tobytes()
-            rows.append((key, n, comp, sig, tokens, earlier))
-            held += len(tokens) * (32 + len(sig) + len(earlier))
+            rows.append((key, n, comp, sig, tokens, earlier, np.full(len(tokens), n) if rests is None else rests.values.to_numpy()))
+            held += len(tokens) * (40 + len(sig) + len(earlier))
             if held > CHUNK:
                 yield chunk(rows)
                 rows, held = [], 0
@@ -304,7 +337,7 @@ def _compare(percent: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, n, key, comp, sig, earlier in _tiles(batches):
+        for token, n, key, comp, rest, sig, earlier in _tiles(batches):
             own = [np.frombuffer(x, dtype=np.int64) for x in earlier]
             large = n > FOLDED_SHINGLES
             full = np.frombuffer(b"".join(sig[large]), dtype=np.uint64).reshape(-1, SIGNATURE_BITS // 64)
@@ -315,11 +348,13 @@ def _compare(percent: int):
             i, step = np.arange(len(token)), 1
             while True:
                 i = i[i + step < len(token)]
-                # In order of size: a partner that is too large for i leaves only larger ones.
-                i = i[(token[i + step] == token[i]) & (100 * n[i] >= percent * n[i + step])]
+                needed = overlap_needed(n[i], n[i + step], percent)
+                # In order of size: a partner that asks too much of i leaves only those that ask more.
+                go = (token[i + step] == token[i]) & (rest[i] >= needed)
+                i, needed = i[go], needed[go]
                 if not len(i):
                     break
-                x = i[comp[i] != comp[i + step]]
+                x = i[(comp[i] != comp[i + step]) & (rest[i + step] >= needed)]
                 for x in np.array_split(x, -(-len(x) // 65536) or 1):
                     ok = x[allowed(bits[x], bits[x + step], n[x], n[x + step], percent)]
                     both = ok[large[ok] & large[ok + step]]
@@ -422,9 +457,9 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     level = np.zeros(CELLS, dtype=np.uint8)
     for r in described.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("cnt").alias("cnt")).toLocalIterator():  # CELLS rows at most
         level[r["cell"]] = min(LEVELS - 1, r["cnt"].bit_length())
-    filed = map_batches(slim.select("text"), _file(size, percent, spark.sparkContext.broadcast(level)), "token long, key long, n long")
-    filed = filed.repartition(parts, "token").sortWithinPartitions("token", "n", "key")
-    tiles = written(map_batches(filed, _lead(percent), "token long, key long, n long, leader long"), "tiles")
+    filed = map_batches(slim.select("text"), _file(size, percent, spark.sparkContext.broadcast(level)), "token long, key long, place long")
+    filed = filed.repartition(parts, "token").sortWithinPartitions("token", "place", "key")
+    tiles = written(map_batches(filed, _lead(percent), "token long, key long, n long, rest long, leader long"), "tiles")
 
     # One row a set: what a copy has too is found once.
     sets = known.filter("n > 0").groupBy("key", "n", "sig", "wide").agg(F.min(F.struct("doc_id", "th")).alias("one"))
@@ -458,8 +493,8 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
         return written(map_batches(gathered, _verify(percent), "a long, b long"), f"{name}-links")
 
     def mixed_tiles(labels: DataFrame, rows: DataFrame) -> DataFrame:
-        """The rows (token, n, key) of tiles that hold several components, with comp, written."""
-        placed = joined_small(rows.select("token", "n", "key"), labels, ["key"]).select("token", "n", "key", F.coalesce("label", "key").alias("comp"))
+        """The rows (token, n, key, rest) of tiles that hold several components, with comp, written."""
+        placed = joined_small(rows.select("token", "n", "key", "rest"), labels, ["key"]).select("token", "n", "key", "rest", F.coalesce("label", "key").alias("comp"))
         mixed = placed.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select(F.col("token").alias("_t"))
         return written(placed.join(mixed, F.col("token") == F.col("_t"), "left_semi"), "mixed")
 
@@ -488,9 +523,9 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
         discard(mixed)
         mixed = fewer
 
-    # A set has few mixed tiles, its prefix at most.
-    prefixes = mixed.groupBy("key").agg(F.min("comp").alias("comp"), F.array_sort(F.collect_list("token")).alias("tokens"))
-    prefixes = prefixes.join(side("a"), F.col("key") == F.col("a_key")).select("key", F.col("a_n").alias("n"), "comp", F.col("a_sig").alias("sig"), "tokens")
+    # A set has few mixed tiles, its prefix at most. Earlier ones are those with more of the set to come, for every set alike.
+    prefixes = mixed.groupBy("key").agg(F.min("comp").alias("comp"), F.sort_array(F.collect_list(F.struct("rest", "token")), asc=False).alias("places"))
+    prefixes = prefixes.join(side("a"), F.col("key") == F.col("a_key")).select("key", F.col("a_n").alias("n"), "comp", F.col("a_sig").alias("sig"), F.col("places.token").alias("tokens"), F.col("places.rest").alias("rests"))
     rows = map_batches(prefixes, _tile_rows, _TILE_ROWS).repartition(parts, "token").sortWithinPartitions("token", "n", "key")
     more = verified(screened(map_batches(rows, _compare(percent), "a long, b long"), "rest"), "rest")
     discard(mixed)

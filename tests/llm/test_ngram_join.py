@@ -148,3 +148,46 @@ def test_tiles_give_every_pair(monkeypatch, earlier):
     assert over and over <= set(found) <= {(j, i) for i, j in share}
     if earlier == 64:
         assert max(found.values()) == 1
+
+
+@pytest.mark.parametrize("neighbours", [2, 256])
+def test_first_common_shingles_keep_every_link(monkeypatch, neighbours):
+    """Of sets over the threshold the tile of the first common shingle keeps both."""
+    monkeypatch.setattr(ngram_join, "NEIGHBOURS", neighbours)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 70, int(rng.integers(1, 200)))) for _ in range(120)]
+    sets += [np.unique(np.concatenate([s[: len(s) - int(rng.integers(0, 6))], rng.integers(0, 70, int(rng.integers(0, 3)))])) for s in sets]
+    sets = [s for s in sets if len(s)]
+    rows = sorted({(int(t), len(s), len(s) - i, key) for key, s in enumerate(sets) for i, t in enumerate(s[: prefix_length(len(s), 80)])})
+    token, n, rest, key = (np.array(c) for c in zip(*rows))
+    kept = {(t, k) for t, k, ok in zip(token.tolist(), key.tolist(), ngram_join.partnered(token, n, rest, 80)) if ok}
+    links = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            common = np.intersect1d(x, y)
+            if len(common) and 100 * len(common) >= 80 * (len(x) + len(y) - len(common)):
+                links += 1
+                assert {(int(common[0]), i), (int(common[0]), j)} <= kept
+    assert links > 100
+    if neighbours == 256:
+        assert len(kept) < len(rows)
+
+
+def test_chance_meetings_leave_their_tiles(make_docs, monkeypatch):
+    """Texts that share a passage in sizes or places that allow no link are held in no tile."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(60)]
+    rows = [(i, " ".join([word() for _ in range(40 + 12 * i)] + passage)) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " " + word()) for i in range(5)]
+    held, written = {}, ngram_join.written
+
+    def counted(df, name, *args, **options):
+        out = written(df, name, *args, **options)
+        held.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    assert got(ngram_components(make_docs(rows), 3, 90)) == brute(rows, 3, 90)
+    # The links' own tiles: a tenth of two sets each.
+    assert 0 < held["tiles"] < 100
