@@ -13,6 +13,8 @@ substrings that segments of exact lengths would need. What meets is verified by
 Lines that differ by few edits have nearly the same counts of each letter. So every line that meets another has a profile, its
 length and codes of how often it has each of 32 characters, and only pairs whose profiles allow it are listed at all and have their
 texts compared: two lines that share a short substring by chance nearly always fail that. Lines without these characters pass it.
+Copies of one line, each edited in places of its own by more than the threshold, have much the same letters. So lines of buckets of
+some size also have parity bits of their pairs of neighbouring characters, of which an edit changes four at most and a word many.
 
 Only whether an earlier line is near is asked, so pairs are never listed within a bucket. Every member is held against the
 bucket's first line; what that settles asks nothing more. Small buckets compare what is left. Lines of large buckets, which
@@ -43,6 +45,10 @@ FINER, PIECE_CHARS = 8, 6
 #: Characters whose counts make a line's profile, sixteen in a long.
 COUNTED = "etaoinsrhdlucmgpfwybvkxjqz .,-éü"
 _PROFILE = ("length", "c0", "c1")
+#: Members of buckets of more lines have GRAM_WORDS longs of parity bits of their character pairs besides.
+CROWD = 50
+GRAM_WORDS = 4
+_GRAMS = tuple(f"g{i}" for i in range(GRAM_WORDS))
 #: Tables of at most so many single long keys are broadcast.
 KEYS = 1_000_000
 _BLANK = " \t\n\x0b\x0c\r"
@@ -240,13 +246,48 @@ def profile(line: Column) -> list[Column]:
 def alike(rule: Rule, prefix: str) -> Column:
     """Whether the profile in columns of these names and that in those with a prefix allow two lines to be near.
 
-    An edit takes one character away at most and adds one at most, so it changes two bits at most, and the length by one.
+    An edit takes one character away at most and adds one at most, so it changes two bits at most, and one if it changes the length.
     """
+    most, longer = rule.allowed(F.least(F.col("length"), F.col(f"{prefix}length"))), F.abs(F.col("length") - F.col(f"{prefix}length"))
+    return (_bits_apart(_PROFILE[1:], prefix) <= 2 * most - longer) & (longer <= most)
+
+
+def _bits_apart(names: tuple[str, ...], prefix: str) -> Column:
     differ = F.lit(0)
-    for c in _PROFILE[1:]:
+    for c in names:
         differ = differ + F.bit_count(F.col(c).bitwiseXOR(F.col(prefix + c)))
-    most = rule.allowed(F.least(F.col("length"), F.col(f"{prefix}length")))
-    return (differ <= 2 * most) & (F.abs(F.col("length") - F.col(f"{prefix}length")) <= most)
+    return differ
+
+
+def grams(line: Column) -> list[Column]:
+    """Parity bits of a line's hashed pairs of neighbouring characters, its last one counted alone."""
+    wide = F.struct(_wide(line).alias("wide"), F.char_length(line).alias("n"))
+    hashed = F.transform(F.array(wide), lambda x: F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda i: F.xxhash64(F.substring(x["wide"], i * 4 + 1, F.lit(8)))))[0]
+
+    def word(k: int, all_of_them: Column) -> Column:
+        bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(v, 8).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+        return F.aggregate(all_of_them, F.lit(0).cast("long"), lambda bits, v: F.when(F.pmod(v, F.lit(GRAM_WORDS)) == k, bits.bitwiseXOR(bit(v))).otherwise(bits))
+
+    words = F.transform(F.array(hashed), lambda x: F.struct(*[word(k, x).alias(name) for k, name in enumerate(_GRAMS)]))[0]
+    return [words[name].alias(name) for name in _GRAMS]
+
+
+def grams_alike(rule: Rule, prefix: str) -> Column:
+    """Whether the parity bits allow two lines to be near; true where one has none.
+
+    An edit takes two pairs of characters away at most and adds two at most, three of both if it changes the length.
+    """
+    most, longer = rule.allowed(F.least(F.col("length"), F.col(f"{prefix}length"))), F.abs(F.col("length") - F.col(f"{prefix}length"))
+    return F.coalesce(_bits_apart(_GRAMS, prefix) <= 4 * most - longer, F.lit(True))
+
+
+def with_grams(members: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """members (h, n, ...) with the parity bits of those in buckets of more than CROWD lines; null for others."""
+    crowd = written(members.filter(F.col("n") > CROWD).select("h").distinct(), f"{name}-crowd")
+    if crowd.isEmpty():
+        return members.select("*", *[F.lit(None).cast("long").alias(c) for c in _GRAMS])
+    bits = written(joined_small(texts.select("h", "line"), crowd, ["h"], "left_semi", KEYS).withColumn("_g", F.struct(*grams(F.col("line")))).select("h", "_g.*"), f"{name}-grams")
+    return joined_small(members, bits, ["h"], "left")
 
 
 def corpus_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
@@ -286,9 +327,9 @@ def settle(met: DataFrame, order: DataFrame, texts: DataFrame, settled: DataFram
     members = joined_small(members, stars.withColumn("_near", F.lit(True)), ["h"], "left", KEYS)
     members = members.withColumn("open", F.col("open") & F.col("_near").isNull() & (F.col("h") != F.col("head")))
     left = members.filter("n > 2").select("key", "h", "own", "first", "open", "head", "n", *_PROFILE)
-    small = left if large is None else left.filter(F.col("n") <= large)
-    before = small.filter("h <> head").select(F.col("key").alias("_key"), F.col("h").alias("before"), F.col("own").alias("_own"), F.col("first").alias("_first"), *[F.col(c).alias(f"_{c}") for c in _PROFILE])
-    rest = joined_spread(small.filter("open"), before, "key", "_key", "h").filter(alike(rule, "_") & F.expr("(own AND length <= _length OR _own AND _length <= length) AND _first < first")).select("h", "before")
+    small = with_grams(left if large is None else left.filter(F.col("n") <= large), texts, name)
+    before = small.filter("h <> head").select(F.col("key").alias("_key"), F.col("h").alias("before"), F.col("own").alias("_own"), F.col("first").alias("_first"), *[F.col(c).alias(f"_{c}") for c in _PROFILE + _GRAMS])
+    rest = joined_spread(small.filter("open"), before, "key", "_key", "h").filter(alike(rule, "_") & grams_alike(rule, "_") & F.expr("(own AND length <= _length OR _own AND _length <= length) AND _first < first")).select("h", "before")
     others = verified(rest, texts, rule, f"{name}-rest")
     open_keys = left.filter(F.col("n") > (large or 0)).groupBy("key").agg(F.max("open").alias("open")).filter("open").select("key")
     return [stars, others], open_keys
