@@ -46,6 +46,8 @@ FOLDED_SHINGLES, FOLDED_BITS = 800, 256
 EARLIER = 64
 #: Next sets of its tile that a set is held against by sizes and places; tiles of more sets of like size stay whole.
 NEIGHBOURS = 256
+#: So many sets of one size band of a tile stay in it: copies edited in places of their own meet their common origin there.
+CROWD = 16
 
 #: Rounds in which tiles are held against their hubs, at most; what they leave is compared all the same.
 HUB_ROUNDS = 2
@@ -244,21 +246,30 @@ def partnered(token: np.ndarray, n: np.ndarray, rest: np.ndarray, percent: int)
         step += 1
 
 
+def band_starts(token: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Whether a row is the first of its tile's band."""
+    starts = np.ones(len(token), dtype=bool)
+    starts[1:] = (token[1:] != token[:-1]) | (band[1:] != band[:-1])
+    return starts
+
+
 def _lead(percent: int):
-    """(token, key, place) in order of token, place and key -> the rows (token, key, n, rest) that have a partner in their tile, with the first set of their size band."""
+    """(token, key, place) in order of token, size and key -> the rows (token, key, n, rest) that have a partner in their tile or are a crowd there, with the first set of their size band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, key, place in _tiles(batches):
             new = np.ones(len(token), dtype=bool)
             new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
             token, key, n, rest = token[new], key[new], place[new] >> 32, place[new] & 0xFFFFFFFF
+            band = np.floor(np.log(n) / np.log(100 / percent)) if percent < 100 else n
             kept = partnered(token, n, rest, percent)
-            token, key, n, rest = token[kept], key[kept], n[kept], rest[kept]
+            at = np.flatnonzero(band_starts(token, band))
+            times = np.diff(np.append(at, len(token)))
+            kept |= np.repeat(times >= CROWD, times)
+            token, key, n, rest, band = token[kept], key[kept], n[kept], rest[kept], band[kept]
             if not len(token):
                 continue
-            band = np.floor(np.log(n) / np.log(100 / percent)) if percent < 100 else n
-            starts = np.ones(len(token), dtype=bool)
-            starts[1:] = (token[1:] != token[:-1]) | (band[1:] != band[:-1])
+            starts = band_starts(token, band)
             leader = key[np.maximum.accumulate(np.where(starts, np.arange(len(token)), 0))]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, key, n, rest, leader)], names=["token", "key", "n", "rest", "leader"])
 
@@ -458,7 +469,7 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     for r in described.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("cnt").alias("cnt")).toLocalIterator():  # CELLS rows at most
         level[r["cell"]] = min(LEVELS - 1, r["cnt"].bit_length())
     filed = map_batches(slim.select("text"), _file(size, percent, spark.sparkContext.broadcast(level)), "token long, key long, place long")
-    filed = filed.repartition(parts, "token").sortWithinPartitions("token", "place", "key")
+    filed = filed.repartition(parts, "token").sortWithinPartitions("token", F.shiftright("place", 32), "key")
     tiles = written(map_batches(filed, _lead(percent), "token long, key long, n long, rest long, leader long"), "tiles")
 
     # One row a set: what a copy has too is found once.
