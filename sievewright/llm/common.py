@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, NumericType, StructType
 
 from ..sources.storage import discard, scratch_path, shared_dir, written
 
@@ -22,6 +22,8 @@ BATCH_ROWS = 512
 BROADCAST_ROWS = 100_000
 #: Bytes of text that are broadcast, at most.
 BROADCAST_BYTES = 16 << 20
+#: Fields of eight bytes that a row of such a table may have; of narrower rows as many more are broadcast.
+BROADCAST_FIELDS = 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -79,14 +81,28 @@ HOT_SHARE = 1000
 HOT_ROWS = 1000
 
 
-def joined_spread(left: DataFrame, right: DataFrame, key: str, other: str, by: str, counted: str | None = None, wide: str | None = None) -> DataFrame:
+def _broadcast_rows(schema: StructType) -> int:
+    """BROADCAST_ROWS, or more where all fields have a fixed size and there are few."""
+    fields, left = 0, [f.dataType for f in schema.fields]
+    while left:
+        kind = left.pop()
+        if isinstance(kind, StructType):
+            left += [f.dataType for f in kind.fields]
+        elif isinstance(kind, (NumericType, BooleanType)):
+            fields += 1
+        else:
+            return BROADCAST_ROWS
+    return BROADCAST_ROWS * max(BROADCAST_FIELDS, fields) // max(1, fields)
+
+
+def joined_spread(left: DataFrame, right: DataFrame, key: str, other: str, by: str | Column, counted: str | None = None, wide: str | None = None) -> DataFrame:
     """Inner join of left.key with right.other, one row a key on the right; a key with many rows on the left is cut by a hash of by.
 
-    right is broadcast if its counted rows, and the bytes of the text column wide if it has one, are few. Else the rows of each hot key are counted, at most HOT_SHARE such counts come to the
+    right is broadcast if its counted rows (more of them if narrow), and the bytes of the text column wide if it has one, are few. Else the rows of each hot key are counted, at most HOT_SHARE such counts come to the
     driver, and right's row is repeated for each part. counted: the column of right that has the counts already. right's key is dropped.
     """
     size = right.agg(F.count(F.lit(1)).alias("n"), (F.sum(F.octet_length(wide)) if wide else F.lit(0)).alias("bytes")).first()
-    if size["n"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES:
+    if size["n"] <= _broadcast_rows(right.schema) and (size["bytes"] or 0) <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), F.col(key) == F.col(other)).drop(other)
     times = right.select(F.col(other).alias("_k"), F.col(counted).alias("_n")) if counted else left.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
     times = written(times, "times")

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_small, joined_spread, shuffle_partitions, written
+from .common import discard, joined_small, joined_spread, shuffle_partitions, written
 
 #: Lines of fewer characters are compared for equality only: a few characters tell headings and list items apart.
 NEAR_CHARS = 30
@@ -49,7 +49,7 @@ _PROFILE = ("length", "c0", "c1")
 CROWD = 50
 GRAM_WORDS = 4
 _GRAMS = tuple(f"g{i}" for i in range(GRAM_WORDS))
-#: Tables of at most so many single long keys are broadcast.
+#: Tables of at most so many single long keys are broadcast; of more keys, a bit map of as many words.
 KEYS = 1_000_000
 _BLANK = " \t\n\x0b\x0c\r"
 
@@ -114,16 +114,17 @@ def _piece(wide: Column, length: Column, side: Column, i: Column, size: Column,
     return F.substring(wide, (F.greatest(start, F.lit(0)) * 4 + 1).cast("int"), (size * 4).cast("int"))
 
 
-def entries(lines: DataFrame, rule: Rule) -> DataFrame:
-    """lines (line, length, h) -> key, h, own: what each line is filed under (own) and looks up."""
-    at = lines.filter(F.col("length") >= rule.least).select("h", "length", _wide(F.col("line")).alias("wide"), F.explode(rule.targets(F.col("length"))).alias("band"))
+def entries(lines: DataFrame, rule: Rule, keep: tuple[str, ...] = ()) -> DataFrame:
+    """lines (line, length, h) -> key, h, own and the columns in keep: what each line is filed under (own) and looks up."""
+    at = lines.filter(F.col("length") >= rule.least).select("h", *keep, "length", _wide(F.col("line")).alias("wide"), F.explode(rule.targets(F.col("length"))).alias("band"))
     specs = [_constant(_probes(k), ("side", "i", "shift")) for k in ([rule.most] if rule.edits is not None else range(1, MAX_EDITS + 1))]
     edits = rule.of_band(F.col("band"))
     mine = specs[0] if len(specs) == 1 else F.element_at(F.array(*specs), edits)
-    at = at.withColumn("size", F.floor(rule.shortest(F.col("band")) / (edits + 1)).cast("int")).withColumn("p", F.explode(mine))
+    # What a line's entries have in common is computed once for each band.
+    at = at.withColumn("size", F.floor(rule.shortest(F.col("band")) / (edits + 1)).cast("int")).withColumn("in_own", F.col("band") == rule.band(F.col("length"))).withColumn("p", F.explode(mine))
     text = _piece(F.col("wide"), F.col("length"), F.col("p.side"), F.col("p.i"), F.col("size"), F.col("p.shift"))
-    own = (F.col("p.shift") == 0) & (F.col("band") == rule.band(F.col("length")))
-    return at.select(F.xxhash64("band", "p.side", "p.i", text).alias("key"), "h", own.alias("own"))
+    own = (F.col("p.shift") == 0) & F.col("in_own")
+    return at.select(F.xxhash64("band", "p.side", "p.i", text).alias("key"), "h", own.alias("own"), *keep)
 
 
 def fine_pieces(lines: DataFrame, rule: Rule, shifts: bool) -> DataFrame:
@@ -237,7 +238,8 @@ def profile(line: Column) -> list[Column]:
     for k, name in enumerate(_PROFILE[1:]):
         word = F.lit(0).cast("long")
         for i, c in enumerate(COUNTED[16 * k : 16 * k + 16]):
-            n = F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit("")))
+            n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))  # bytes needn't be counted
+            n = n if c.isascii() else F.call_function("shiftright", n, F.lit(1))
             word = word.bitwiseOR(F.shiftleft(F.get(codes, n % 8), 4 * i))
         packed.append(word.alias(name))
     return [F.char_length(line).alias("length"), *packed]
@@ -290,6 +292,18 @@ def with_grams(members: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     return joined_small(members, bits, ["h"], "left")
 
 
+def thinned(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows whose long in the column on may be in keys, a written table of that column: of up to KEYS those that are, of more those that a bit map lets through.
+
+    The bit map has KEYS words, whatever the size of keys; who needs an exact answer joins what is left.
+    """
+    if keys.count() <= KEYS:
+        return rows.join(F.broadcast(keys), on, "left_semi")
+    word, bit = F.pmod(F.col(on), F.lit(KEYS)), F.call_function("shiftrightunsigned", F.col(on), F.lit(24)).bitwiseAND(F.lit(63).cast("long")).cast("int")
+    bits = keys.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    return rows.join(F.broadcast(bits), word == F.col("_word")).filter(F.getbit("_bits", bit) == 1).drop("_word", "_bits")
+
+
 def corpus_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """The lines that take part: doc_id, th, pos, line (without outer white space), length, h."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -301,7 +315,10 @@ def corpus_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, rule: Rule, name: str) -> DataFrame:
     """pairs (h, before) of different lines -> the h that are within the threshold of before."""
     # Pairs are few bytes and much work: they are dealt out evenly.
-    pairs = written(pairs.distinct(), f"{name}-pairs").repartition(shuffle_partitions(pairs.sparkSession), "h", "before")
+    pairs = written(pairs.distinct(), f"{name}-pairs")
+    # Most texts are in no pair.
+    texts = thinned(texts.select("h", "line"), written(pairs.select("h").union(pairs.select("before")).distinct(), f"{name}-ends"), "h")
+    pairs = pairs.repartition(shuffle_partitions(pairs.sparkSession), "h", "before")
     both = joined_spread(pairs, texts.select(F.col("h").alias("_h"), F.col("line").alias("one")), "h", "_h", "before", wide="one")
     both = joined_spread(both, texts.select(F.col("h").alias("_b"), F.col("line").alias("two")), "before", "_b", "h", wide="two")
     return written(both.filter(near(F.col("one"), F.col("two"), rule)).select("h").distinct(), f"{name}-near")
@@ -339,9 +356,17 @@ def near_lines(lines: DataFrame, firsts: DataFrame, rule: Rule) -> DataFrame:
     """(h) of the lines within the threshold of a different line that stands before their own first place."""
     looked_up = entries(lines, rule)
     met_keys = looked_up.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("any")).filter("lo <> hi AND any").select("key")
-    met = written(joined_small(looked_up, written(met_keys, "met-keys"), ["key"], "left_semi", KEYS).distinct(), "met")
-    hashes = written(met.select("h").distinct(), "met-lines")
-    texts = written(joined_small(lines.select("h", "line"), hashes, ["h"], "left_semi", KEYS).groupBy("h").agg(F.min("line").alias("line")).select("h", "line", *profile(F.col("line"))), "texts")
+    met_keys = written(met_keys, "met-keys")
+    if met_keys.count() <= KEYS:
+        # Texts come along where no shuffle follows; a line's rows are neighbours, so the copies pack well.
+        hits = written(thinned(entries(lines, rule, ("line",)), met_keys, "key"), "hits")
+        met, texts = written(hits.select("key", "h", "own"), "met"), hits.select("h", "line")
+    else:
+        met = written(thinned(looked_up, met_keys, "key").join(met_keys, "key", "left_semi").select("key", "h", "own").distinct(), "met")
+        texts = thinned(lines.select("h", "line"), hashes := written(met.select("h").distinct(), "met-lines"), "h").join(hashes, "h", "left_semi")
+    texts = written(texts.groupBy("h").agg(F.min("line").alias("line")).select("h", "line", *profile(F.col("line"))), "texts")
+    if met_keys.count() <= KEYS:
+        discard(hits)
     order = joined_small(firsts.select("h", "first"), texts.select("h", *_PROFILE), ["h"], "inner", KEYS)
     order = written(order.select(F.col("h").alias("_h"), "first", *_PROFILE), "order")
     found, open_keys = settle(met, order, texts, None, rule, LARGE_BUCKET, "coarse")
@@ -381,7 +406,9 @@ def dedup_lines(docs: DataFrame, edits: int | None = None, min_chars: int = 1, n
     """
     lines, rule = corpus_lines(docs, min_chars), Rule(edits, near_chars)
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th", "pos")
-    firsts = written(lines.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n")), "firsts")
+    # Texts are split and hashed once for all that asks only where a line stands.
+    places = written(lines.select("doc_id", "th", "pos", "h"), "places")
+    firsts = written(places.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n")), "firsts")
     if rule.most:
         later = written(near_lines(lines, firsts, rule), "later")
         firsts = joined_small(firsts, later.withColumn("near", F.lit(True)), ["h"], "left", KEYS)
@@ -389,8 +416,8 @@ def dedup_lines(docs: DataFrame, edits: int | None = None, min_chars: int = 1, n
         firsts = firsts.withColumn("near", F.lit(False))
     # Only lines of two places or more, or near an earlier one, lose anything.
     some = written(firsts.filter("first <> last OR near").select(F.col("h").alias("_h"), "first", F.coalesce("near", F.lit(False)).alias("near"), "n"), "some")
-    slim = lines.select("doc_id", "th", "pos", "h", place.alias("place"))
-    gone = joined_spread(slim, some, "h", "_h", "place", counted="n").withColumn("again", F.col("place") != F.col("first")).filter("again OR near")
+    slim = thinned(places, some.select(F.col("_h").alias("h")), "h")
+    gone = joined_spread(slim, some, "h", "_h", place, counted="n").withColumn("again", place != F.col("first")).filter("again OR near")
     # A document's own lines only are gathered here.
     gone = gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "again")).alias("gone"))
     gone = gone.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "gone")

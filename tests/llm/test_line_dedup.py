@@ -268,3 +268,33 @@ def test_grams_bound_the_edits(spark):
     out = out.withColumn("apart", F.expr(apart))
     assert out.filter("apart > 4 * n - abs(char_length(a) - char_length(b))").isEmpty()
     assert out.filter("apart > 0").count() > 200
+
+
+def test_only_rows_that_matter_are_joined(make_docs, monkeypatch):
+    """Texts are brought to pairs only where they are in one, places of lines only where something goes, whatever is broadcast."""
+    rng = random.Random(13)
+    lines = ["one beginning that many lines have, and " + "".join(rng.choice("abcdefghijklmnoprstu ") for _ in range(60 + rng.randrange(15))).strip() + "." for _ in range(80)]
+    lines += [x[:70] + "Q" + x[72:] for x in lines[:9]] + lines[:3]
+    rows = [(i, x) for i, x in enumerate(lines)]
+    expected, joined, texts, places = brute(rows), line_dedup.joined_spread, [], []
+
+    def counted(left, right, key, other, by, **more):
+        if more.get("wide"):
+            texts.append(right.count())
+        if more.get("counted"):
+            places.append(left.count())
+        return joined(left, right, key, other, by, **more)
+
+    monkeypatch.setattr(line_dedup, "joined_spread", counted)
+    assert got(dedup_lines(make_docs(rows))) == expected and sum(r[4] for r in expected) == 9
+    assert max(texts) < 40 and places == [9 + 2 * 3]
+    # More keys than are broadcast go through a bit map of few words.
+    monkeypatch.setattr(line_dedup, "KEYS", 40)
+    assert got(dedup_lines(make_docs(rows))) == expected
+
+
+def test_a_bit_map_keeps_every_key(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "KEYS", 500)
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("k"), "id")
+    kept = line_dedup.thinned(rows, rows.filter("id < 1000").select("k"), "k")
+    assert kept.filter("id < 1000").count() == 1000 and kept.count() < 2500
