@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,10 @@ END = 1
 DENSE = 32
 #: Neighbours that one query returns; a seed whose neighbours are used up asks again for more.
 NEIGHBOURS = 16
+#: Ids or words that are looked up or sorted at once, of whole documents.
+RUN = 1 << 18
+#: Words, and parts of words, whose ids a worker keeps: some 150 bytes each.
+KEPT_WORDS = 1_000_000
 #: BM25's saturation and length normalisation.
 K1, B = 1.2, 0.75
 
@@ -35,6 +40,33 @@ SCHEMA = (
 )
 
 
+def runs(sizes: list[int]) -> Iterator[slice]:
+    """Neighbours that hold RUN ids or words together, or one that holds more: what numpy does at once."""
+    first = held = 0
+    for i, n in enumerate(sizes):
+        if i > first and held + n > RUN:
+            yield slice(first, i)
+            first, held = i, 0
+        held += n
+    if sizes:
+        yield slice(first, len(sizes))
+
+
+def distinct_terms(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count) of the distinct ids of each document, in that order; one sort serves many documents."""
+    lengths, found = [len(d) for d in documents], [(np.zeros(0, dtype=np.int64),) * 3]
+    for part in runs(lengths):
+        ids = np.concatenate(documents[part])
+        base = int(ids.max(initial=0)) + 1
+        kind = np.uint32 if base * (part.stop - part.start) < 1 << 32 else np.int64
+        keys = np.repeat(np.arange(part.stop - part.start, dtype=kind), lengths[part]) * kind(base) + ids.astype(kind)
+        keys, counts = np.unique(keys, return_counts=True)
+        doc = keys // kind(base)
+        found.append((doc.astype(np.int64) + part.start, (keys - doc * kind(base)).astype(np.int64), counts))
+    doc, term, count = (np.concatenate(x) for x in zip(*found))
+    return doc, term, count
+
+
 class Index:
     """An inverted index of documents given as arrays of ids, with BM25 weights.
 
@@ -43,12 +75,9 @@ class Index:
 
     def __init__(self, documents: list[np.ndarray], corpus: tuple[int, float, np.ndarray] | None = None):
         self.n = len(documents)
-        terms, counts = zip(*(np.unique(d, return_counts=True) for d in documents)) if documents else ((), ())
-        sizes = np.fromiter(map(len, terms), np.int64, self.n)
         lengths = np.fromiter(map(len, documents), np.float64, self.n)
-        term = np.concatenate(terms) if self.n else np.zeros(0, dtype=np.int64)
-        tf = np.concatenate(counts).astype(np.float64) if self.n else np.zeros(0)
-        doc = np.repeat(np.arange(self.n), sizes)
+        doc, term, tf = distinct_terms(documents)
+        sizes, tf = np.bincount(doc, minlength=self.n), tf.astype(np.float64)
         df = np.bincount(term, minlength=1)
         n, mean, frequency = corpus or (self.n, lengths.mean() if self.n else 1.0, df)
         idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
@@ -150,11 +179,21 @@ def _encode(path: str):
     """(doc_id, shard, text) -> (shard, doc_id, ids): 16 bits an id where the vocabulary allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = kept_in_worker(f"words:{path}", lambda: WordPieces(word_encoder(path)))
+        pieces = kept_in_worker(f"words:{path}", lambda: WordPieces(word_encoder(path, KEPT_WORDS), KEPT_WORDS))
         for batch in batches:
             words = [t.split() for t in batch.column("text").to_pylist()]
-            ids = [pieces.ids(n).astype("<u2").tobytes() for n in pieces.of_texts(words)]
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
+            sizes = [len(w) for w in words]
+            numbers = pieces.numbers(chain.from_iterable(words), sum(sizes))
+            ends, data, offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), [], [np.zeros(1, dtype=np.int64)]
+            for part in runs(sizes):
+                first = ends[part.start]
+                ids, count = pieces.known.take(numbers[first : ends[part.stop]])
+                data.append(ids.astype("<u2").tobytes())
+                upto = np.concatenate([[0], np.cumsum(count)])
+                offsets.append(offsets[-1][-1] + 2 * upto[ends[part.start + 1 : part.stop + 1] - first])
+            offsets = pa.array(np.concatenate(offsets), pa.int32())  # more than fits is an error
+            ids = pa.BinaryArray.from_buffers(pa.binary(), len(words), [None, offsets.buffers()[1], pa.py_buffer(b"".join(data))])
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), ids], names=["shard", "doc_id", "ids"])
 
     return run
 
@@ -173,10 +212,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """ids -> (term, n): document frequencies; documents as term -1 and their ids as -2."""
     df, documents, tokens = np.zeros(1 << 16, dtype=np.int64), 0, 0
     for batch in batches:
-        for ids in batch.column("ids").to_pylist():
-            own = np.append(np.frombuffer(ids, dtype="<u2"), np.uint16(END))
-            df[np.unique(own)] += 1
-            documents, tokens = documents + 1, tokens + len(own)
+        own = [np.append(np.frombuffer(ids, dtype="<u2"), np.uint16(END)) for ids in batch.column("ids").to_pylist()]
+        df += np.bincount(distinct_terms(own)[1], minlength=len(df))
+        documents, tokens = documents + len(own), tokens + sum(map(len, own))
     terms = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, [-1, -2])), pa.array(np.append(df[terms], [documents, tokens]))], names=["term", "n"])
 

@@ -221,8 +221,8 @@ class WordPieces(Cache):
         return self.known.take(numbers)[0]
 
 
-def word_encoder(path: str) -> Callable[[list[bytes]], Rows]:
-    """Ids of each word, as the tokenizers library gives them.
+def word_encoder(path: str, limit: int = CACHE_WORDS) -> Callable[[list[bytes]], Rows]:
+    """Ids of each word, as the tokenizers library gives them; limit: the parts of words that are kept.
 
     White space always ends a piece of these vocabularies, so the ids of a text are those of its words in a row. The
     library takes much longer for single words than their merges need; for plain words its pattern and merges are
@@ -247,7 +247,7 @@ def word_encoder(path: str) -> Callable[[list[bytes]], Rows]:
             return merges.apply([p.encode() for p in parts])
         return joined(np.array([len(p) <= PART_CHARS for p in parts]), encode_parts(short), library(p for p in parts if len(p) > PART_CHARS))
 
-    parts = Cache(encode_parts, CACHE_WORDS)
+    parts = Cache(encode_parts, limit)
 
     def encode(words: list[bytes]) -> Rows:
         texts = b"\n".join(words).decode("utf-8", "replace")

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 from tokenizers import Tokenizer
 
+from sievewright.llm import packing
 from sievewright.llm.packing import Index, corpus_counts, op3_retrieval_packing, pack, pack_documents
 from sievewright.llm.pieces import WordPieces, vocabulary, word_encoder
 
@@ -104,3 +105,23 @@ def test_scores_are_of_the_whole_corpus(spark):
     index = Index(shard, corpus)
     expected = [sum(np.log1p((5 - df[t] + 0.5) / (df[t] + 0.5)) * (d == t).sum() * 2.2 / ((d == t).sum() + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in (1, 5, 6, 7)) for d in shard]
     assert np.allclose(index.scores(index.query(0)), expected)
+
+
+def test_documents_share_numpy_calls(monkeypatch):
+    """Terms of many documents are found by one sort, words looked up at once, and long documents apart; all as one by one."""
+    rng = np.random.default_rng(5)
+    documents = [rng.integers(0, 50_000, n).astype("<u2") for n in (3, 0, 40, 500, 1, 7, 300, 0)]
+    one_by_one, calls, unique = [np.unique(d, return_counts=True) for d in documents], [], np.unique
+    monkeypatch.setattr(packing.np, "unique", lambda *a, **k: calls.append(0) or unique(*a, **k))
+    index = Index(documents)
+    assert len(calls) == 1
+    assert all(index.query(i).tolist() == terms.tolist() for i, (terms, _) in enumerate(one_by_one))
+    for most in (1, 50, 400):
+        monkeypatch.setattr(packing, "RUN", most)
+        doc, term, count = packing.distinct_terms(documents)
+        assert list(zip(doc.tolist(), term.tolist(), count.tolist())) == [(i, t, c) for i, own in enumerate(one_by_one) for t, c in zip(*map(np.ndarray.tolist, own))]
+        texts = ["one two", "", "three of these words", "x", "", "two one " * 30]
+        batch = packing.pa.RecordBatch.from_pydict({"shard": [0] * 6, "doc_id": list(range(6)), "text": [t.encode() for t in texts]})
+        (out,) = packing._encode(vocabulary("word_bpe_49k.json"))(iter([batch]))
+        assert [np.frombuffer(x, "<u2").tolist() for x in out.column("ids").to_pylist()] == [ids_of(t)[:-1].tolist() for t in texts]
+    assert [x.tolist() for x in packing.distinct_terms([])] == [[], [], []]
