@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.keys import bucket, position
 
 BUCKET_BITS = 32_768
+#: Most bitmaps, of 4 KB each, that every task gets a copy of.
+BROADCAST_BUCKETS = 4_000
 
 
 def from_rids(rids: DataFrame, rid: str = "rid", by: tuple[str, ...] = ()) -> DataFrame:
@@ -53,5 +55,24 @@ def to_rids(bitmaps: DataFrame, *keep: str) -> DataFrame:
     return out.select(*keep, ((F.col("bucket") - 1) * BUCKET_BITS + place + 1).cast("long").alias("rid"))
 
 
+def never_broadcast(rids: DataFrame) -> DataFrame:
+    """Ids out of bitmaps, for a join: Spark takes them for as large as the bitmaps that they are made from, some 50 times too small."""
+    return rids.hint("merge")
+
+
 def difference_rids(left: DataFrame, right: DataFrame) -> DataFrame:
-    return to_rids(left).join(to_rids(right), "rid", "left_anti")
+    return to_rids(left).join(never_broadcast(to_rids(right)), "rid", "left_anti")
+
+
+def holding(rows: DataFrame, bitmaps: DataFrame, most: int) -> DataFrame:
+    """The rows (rid) whose ids are in the bitmaps: rows meet the bitmap of their bucket and test their bit, no id becomes a row.
+
+    most: no more bitmaps than that can come; it decides whether they are broadcast, as their files tell little of their size.
+    """
+    # Words of 64 bits are read in place, while a binary value would be copied for each row. Hex puts a word's first byte on top.
+    word = lambda k: F.conv(F.hex(F.substring(F.col("bm"), k * 8 + 1, F.lit(8))), 16, -10).cast("long")
+    words = bitmaps.select(F.col("bucket").alias("_bucket"), F.transform(F.sequence(F.lit(0), F.lit(BUCKET_BITS // 64 - 1)), word).alias("_words"))
+    at = position(F.col("rid")).cast("int")
+    bit = F.getbit(F.get("_words", F.shiftright(at, 6)), at.bitwiseAND(63).bitwiseXOR(56))
+    words = F.broadcast(words) if most <= BROADCAST_BUCKETS else words.hint("merge")
+    return rows.join(words, (bucket(F.col("rid")) == F.col("_bucket")) & (bit == 1), "left_semi")

@@ -208,7 +208,17 @@ class BitmapIndex:
         rids = bitmaps.to_rids(found) if found is not None else self.spark.createDataFrame([], "rid long")
         if self.manifest["pending"]:
             rids = rids.unionByName(self._read(self.manifest["pending"]).filter(self._condition(predicate)).select("rid"))
-        return self._alive(rids)
+        return bitmaps.never_broadcast(self._alive(rids))
+
+    def _held(self, predicate: And, columns: list[str]) -> DataFrame:
+        """Columns and rid of the rows that an indexable predicate holds for, pending ones too."""
+        found, read = postings.lookup(self.postings(), predicate, self.keys), self._read(self.manifest["files"], columns)
+        # Each file begins a bucket of its own.
+        most = self.manifest["rows"] // bitmaps.BUCKET_BITS + len(self.manifest["files"])
+        rows = bitmaps.holding(read, found, most) if found is not None else read.filter("false")
+        if self.manifest["pending"]:
+            rows = rows.unionByName(self._read(self.manifest["pending"]).filter(self._condition(predicate)).select(*columns, "rid"))
+        return self._alive(rows)
 
     def rows(self, predicate: And, columns: list[str] | None = None, route: str = "auto") -> Answer:
         """The rows, or some of their columns. A column that the predicate pins isn't read on the bitmap route."""
@@ -219,8 +229,7 @@ class BitmapIndex:
         # A float's zero may have either sign, and a literal of another type isn't the value that is stored.
         pinned = {c: v for c, v in predicate.pinned().items() if c in columns and (v is None or (self.keys[c] not in ("float", "double") and plain_key(v, self.keys[c])[0]))}
         kinds = {f.name: f.dataType for f in self.table().schema}
-        read = self._read(self.manifest["files"] + self.manifest["pending"], [c for c in columns if c not in pinned])
-        out = read.join(self.rids(predicate), "rid", "left_semi").withColumns({c: F.lit(v).cast(kinds[c]) for c, v in pinned.items()})
+        out = self._held(predicate, [c for c in columns if c not in pinned]).withColumns({c: F.lit(v).cast(kinds[c]) for c, v in pinned.items()})
         return Answer(taken, len(predicate.parts), why, out.select(*columns))
 
     def index_only(self, predicate: And, columns: list[str]) -> bool:

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -122,6 +123,41 @@ def test_projection_of_pinned_column(index):
     assert index.index_only(all_of(Eq("t", "x")), ["t", "v"]) and not index.index_only(all_of(In("t", ["x"])), ["t"])
 
 
+def test_no_more_than_bitmaps_is_broadcast(spark, tmp_path):
+    """Not an id for each row found: at 36 million rows those were more than the driver's memory."""
+    path, n = str(tmp_path / "t"), 200_000
+    spark.range(n).select("id", (F.col("id") % 3).alias("k")).repartition(2).write.parquet(path)
+    index = BitmapIndex.build(spark, path, IndexSpec(["k"]), str(tmp_path / "i"))
+    df = index.sum("id", all_of(Eq("k", 1)), "bitmap").df
+    assert tuple(df.collect()[0]) == (sum(range(1, n, 3)), len(range(1, n, 3)))
+    plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    sent = [int(float(r)) for r in re.findall(r"BroadcastQueryStage.*rowCount=([0-9.E+]+)", plan)]
+    assert sent and max(sent) <= n // bitmaps.BUCKET_BITS + 2
+    both = index.rids(all_of(Eq("k", 1))).join(index.rids(all_of(In("k", [1, 2]))), "rid", "left_semi")
+    assert both.count() == len(range(1, n, 3)) and "Broadcast" not in both._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [1, 10**9])
+def test_rows_that_bitmaps_hold(spark, most):
+    """Bits at the edges of bytes, words and buckets, full words and a full bucket."""
+    size, rng = bitmaps.BUCKET_BITS, random.Random(3)
+    held = {1, 8, 9, 64, 65, 128, size, size + 1, 2 * size, *range(3 * size + 1, 4 * size + 1), *range(4 * size + 65, 4 * size + 129), (5 << 40) + 1, (5 << 40) + size, *(rng.randrange(5 * size, 7 * size) for _ in range(500))}
+    every = spark.range(1, 8 * size).unionByName(spark.range(5 << 40, (5 << 40) + 2 * size)).select(F.col("id").alias("rid"), F.lit("x").alias("bm"))
+    sets = bitmaps.from_rids(spark.createDataFrame([(i,) for i in held], "rid long"))
+    assert {r["rid"] for r in bitmaps.holding(every, sets, most).collect()} == held
+
+
+@pytest.mark.parametrize("most", [0, bitmaps.BROADCAST_BUCKETS])
+def test_rows_by_either_join(spark, index, monkeypatch, most):
+    """With pending and deleted rows, and a condition that nothing can meet."""
+    monkeypatch.setattr(bitmaps, "BROADCAST_BUCKETS", most)
+    index.append(spark.createDataFrame(rows(50, 300), SCHEMA))
+    index.delete(all_of(Residual("id % 7 = 0")))
+    for predicate in (all_of(Eq("a", 1)), all_of(Eq("b", False), IsNotNull("t")), all_of(IsNull("a")), all_of(In("a", [])), all_of(Eq("s", 2), In("a", [1, 3]))):
+        want, got = (sorted(map(str, index.rows(predicate, ["id", "v", "a"], route).df.collect())) for route in ("native", "bitmap"))
+        assert got == want
+
+
 def test_null_payload_stays_null(index):
     r = index.sum("v", all_of(Eq("s", 0)), "bitmap").df.first()
     expected = [x[7] for x in rows(300) if x[2] == 0 and x[7] is not None]
